@@ -7,16 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import benchmark_matches
 from .ngram_join import ngram_jaccard_join
+from .quality_gam import accepted
+
+
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accepted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_gam": op1_quality_gam,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+        "op9_benchmark_decontamination": op9_benchmark_decontamination,
     }
 
 
