@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import benchmark_matches
 from .ngram_join import ngram_jaccard_join
+from .packing import pack_documents
+from .pii import pii_report
 from .quality_gam import accepted
 
 
@@ -16,6 +18,14 @@ def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -27,6 +37,8 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_gam": op1_quality_gam,
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_pii": op4_pii,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
     }

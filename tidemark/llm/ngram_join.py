@@ -204,6 +204,19 @@ def near_duplicate_ids(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """docs without near duplicates of a document that stays: all columns and all rows that pair with nothing."""
+    """docs without near duplicates of a document that stays, all columns.
+
+    Of rows equal in doc_id and text one stays.
+    Rows with a null doc_id or text, and texts without a word, are in no group and stay.
+    """
     gone = materialize(near_duplicate_ids(docs, **options), "near")
-    return drop_ids(docs, gone)
+    kept = drop_ids(docs, gone)
+    ids = docs.select(F.col("doc_id").alias("__id")).where("__id is not null")
+    repeated = materialize(ids.groupBy("__id").agg(F.count("*").alias("__n")).where("__n > 1").select("__id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    often = sized(repeated)
+    once = kept.join(often, kept["doc_id"] == often["__id"], "left_anti")
+    again = kept.join(often, kept["doc_id"] == often["__id"], "left_semi")
+    null = again.where("text is null")
+    return once.unionByName(null).unionByName(again.where("text is not null").dropDuplicates(["doc_id", "text"]))

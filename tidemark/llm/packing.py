@@ -6,7 +6,8 @@ packed on its own.  Within a group a branch and bound works on bins: the largest
 and the undominated ways to fill it are the branches.  One filling dominates another if the other's
 pieces can be parted into sets that fit into the one's pieces.  A branch is cut when the waste it has made
 leaves no room to beat the incumbent, which starts as the best-fit decreasing packing and is replaced
-by any better one.  The search ends at the waste bound or after NODES nodes, with the incumbent.
+by any better one: at every node the rest is packed by best fit, too.  The search ends at the waste bound
+or when its WORK is used up, with the incumbent.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 CAPACITY = 8192
 #: Sequences' worth of pieces that one group holds, about.
 GROUP_BINS = 512
-#: Branch-and-bound nodes a group at most.
-NODES = 2000
+#: Work of the search on a group at most: the sum, over its nodes, of the pieces still to pack there.
+WORK = 50_000
 #: Fillings enumerated at a node at most, best first.
 WIDTH = 64
 
@@ -140,26 +141,31 @@ def fillings(rest: list[int], room: int, width: int = WIDTH) -> list[tuple[int,
     return kept or [()]
 
 
-def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> tuple[list[list[int]], bool]:
+def bin_completion(sizes: list[int], capacity: int, work: int = WORK) -> tuple[list[list[int]], bool]:
     """(bins of indexes into sizes, whether proven optimal).  sizes falls and none exceeds capacity."""
     best = best_fit_decreasing(sizes, capacity)
     bound = waste_bound(sizes, capacity)
     if len(best) <= bound:
         return best, True
-    total, left_nodes = sum(sizes), [nodes]
+    total, left = sum(sizes), [work]
     chosen: list[tuple[int, ...]] | None = None
     goal = len(best)
 
     def search(rest: list[int], done: list[tuple[int, ...]], waste: int) -> bool:
-        """True once the bound is met or the nodes are used up."""
+        """True once the bound is met or the work is used up."""
         nonlocal chosen, goal
         if not rest:
             if len(done) < goal:
                 goal, chosen = len(done), list(done)
             return goal <= bound
-        if left_nodes[0] <= 0:
+        if left[0] <= 0:
             return True
-        left_nodes[0] -= 1
+        left[0] -= len(rest)
+        quick = best_fit_decreasing(rest, capacity) if done else []
+        if done and len(done) + len(quick) < goal:
+            goal, chosen = len(done) + len(quick), [*done, *(tuple(rest[i] for i in b) for b in quick)]
+            if goal <= bound:
+                return True
         # what may be wasted in all without needing goal bins or more
         if waste > (goal - 1) * capacity - total or len(done) + waste_bound(rest, capacity) >= goal:
             return False
@@ -181,7 +187,7 @@ def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> tuple
         search(list(sizes), [], 0)
     finally:
         sys.setrecursionlimit(old)
-    proven = goal <= bound or left_nodes[0] > 0
+    proven = goal <= bound or left[0] > 0
     if chosen is None:
         return best, proven
     where: dict[int, list[int]] = {}
@@ -190,13 +196,13 @@ def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> tuple
     return [[where[v].pop() for v in b] for b in chosen], proven
 
 
-def _pack(capacity: int, nodes: int):
+def _pack(capacity: int, work: int):
     def run(key, rows):
         import pyarrow as pa
 
         doc, start, size = (rows.column(c).to_pylist() for c in ("doc_id", "start", "size"))
         order = sorted(range(len(doc)), key=lambda i: (-size[i], doc[i], start[i]))
-        bins, _ = bin_completion([size[i] for i in order], capacity, nodes)
+        bins, _ = bin_completion([size[i] for i in order], capacity, work)
         group, out = key[0].as_py(), []
         for b, members in enumerate(bins):
             used = 0
@@ -215,7 +221,7 @@ PACKED = "group long, bin int, position int, doc_id long, start long, size long,
 PACKED_NAMES = [x.split()[0] for x in PACKED.split(", ")]
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, size=None, group_bins: int = GROUP_BINS, nodes: int = NODES) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, size=None, group_bins: int = GROUP_BINS, work: int = WORK) -> DataFrame:
     """(group, bin, position, doc_id, start, size, offset): piece [start, start + size) of a document stands
     at offset of sequence (group, bin).
 
@@ -235,4 +241,4 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, size=None, group_b
         F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("length") % capacity == 0, full - 1).otherwise(full))).alias("k"),
     ).select("doc_id", (F.col("k") * capacity).alias("start"), F.least(F.lit(capacity), F.col("length") - F.col("k") * capacity).cast("long").alias("size"))
     keyed = pieces.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("group"), "*")
-    return keyed.groupBy("group").applyInArrow(_pack(capacity, nodes), PACKED)
+    return keyed.groupBy("group").applyInArrow(_pack(capacity, work), PACKED)
