@@ -5,19 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import embed_dedup, warc
 from .common import table
 from .decontaminate import benchmark_matches
+from .lm_score import lm_scores
 from .ngram_join import ngram_jaccard_join
 from .packing import pack_documents
 from .pii import pii_report
 from .quality_gam import accepted
+from .token_rollup import documents_rollup
 
 
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_rollup(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -26,23 +34,42 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolve_revisits(warc.crawl_of_pages(table(spark, sf_dir, "pages")))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings")).withColumn("cosine", F.round("cosine", 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_gam": op1_quality_gam,
+        "op2_token_rollup": op2_token_rollup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_pii": op4_pii,
+        "op5_revisit_resolution": op5_revisit_resolution,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_revisit_resolution": warc.ORACLE,
+        "op10_embedding_near_dedup": embed_dedup.ORACLE,
+    }
