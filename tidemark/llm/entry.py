@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import embed_dedup, warc
 from .common import table
 from .decontaminate import benchmark_matches
+from .html_cut import extract_content
 from .lm_score import lm_scores
 from .ngram_join import ngram_jaccard_join
 from .packing import pack_documents
@@ -38,6 +39,10 @@ def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve_revisits(warc.crawl_of_pages(table(spark, sf_dir, "pages")))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_content(table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_pii": op4_pii,
         "op5_revisit_resolution": op5_revisit_resolution,
+        "op6_html_extraction": op6_html_extraction,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_lm_scoring": op8_lm_scoring,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
