@@ -51,6 +51,11 @@ def dequantize_int8(z: Column) -> Column:
     return F.transform(z["q"], lambda x: _float(x.cast("float") * z["scale"]))
 
 
+def dot_int8(query: Column, z: Column) -> Column:
+    """The scale times the dot product with the integers."""
+    return z["scale"].cast("double") * dot(query, z["q"])
+
+
 def float16(v: Column) -> Column:
     """Each element at the nearest half-precision value, ties to even, as a float."""
 

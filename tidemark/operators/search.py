@@ -105,31 +105,39 @@ def _top(ids, matrix, k: int):
     return run
 
 
+def query_blocks(queries: DataFrame, block: int = BROADCAST_VALUES):
+    """Broadcasts (ids, matrix of unit vectors) of the queries, of at most about ``block`` numbers each.
+
+    Queries of norm zero, and null ones, are left out; all are of one dimension.
+    """
+    import numpy as np
+
+    sc = queries.sparkSession.sparkContext
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), unit(F.col("vector")).alias("v")).where("v is not null and query_id is not null")
+    size = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    passes = max(1, -(-size.n * (size.dim or 0) // block))
+    for i in range(passes if size.n else 0):
+        got = q.where(F.pmod(F.hash("query_id"), F.lit(passes)) == i).toArrow()
+        if got.num_rows:
+            yield sc.broadcast(got.column("query_id").to_numpy()), sc.broadcast(np.array(got.column("v").to_pylist()))
+
+
 def exact_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int = BROADCAST_VALUES) -> DataFrame:
     """(query_id, row_id, score, rank): the k rows of greatest dot product with each normalised query.
 
     corpus: (row_id, embedding), queries: (query_id, vector), of one dimension.  Stored vectors are taken to be
     unit and are never divided by their norm.  Ties go to the lesser row_id.  Queries of norm zero have no rows.
     """
-    import numpy as np
-
     if k <= 0:
         raise InvalidK(k)
-    sc = corpus.sparkSession.sparkContext
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), unit(F.col("vector")).alias("v")).where("v is not null and query_id is not null")
-    size = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    passes = max(1, -(-size.n * (size.dim or 0) // block))
     base = corpus.select(F.col("row_id").cast("long").alias("row_id"), "embedding").where("row_id is not null and embedding is not null")
-    if size.n == 0:
-        return ranked(base.select(F.lit(0).cast("long").alias("query_id"), "row_id", F.lit(0.0).alias("score")).where("false"), k)
     out = None
-    for i in range(passes):
-        got = q.where(F.pmod(F.hash("query_id"), F.lit(passes)) == i).toArrow()
-        if got.num_rows:
-            ids = sc.broadcast(got.column("query_id").to_numpy())
-            matrix = sc.broadcast(np.array(got.column("v").to_pylist()))
-            part = base.where(F.size("embedding") == size.dim).mapInArrow(_top(ids, matrix, k), "query_id long, row_id long, score double")
-            out = part if out is None else out.unionByName(part)
+    for ids, matrix in query_blocks(queries, block):
+        same = base.where(F.size("embedding") == matrix.value.shape[1])
+        part = same.mapInArrow(_top(ids, matrix, k), "query_id long, row_id long, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = base.select(F.lit(0).cast("long").alias("query_id"), "row_id", F.lit(0.0).alias("score")).where("false")
     return ranked(out, k)
 
 
