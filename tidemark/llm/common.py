@@ -165,11 +165,19 @@ class TextChunk:
             value = (self.codes.astype(np.uint64) + np.uint64(1)) * _GOLDEN
             value ^= value >> np.uint64(29)
             value *= up[: len(value)]
-            total = np.cumsum(value, dtype=np.uint64)
-            h = total[self.wend - 1] - total[self.wstart] + value[self.wstart]
-            self.whash = mix64(h * down[self.wstart] + (self.wend - self.wstart).astype(np.uint64))
+            self._sums = np.append(np.uint64(0), np.cumsum(value, dtype=np.uint64)), down
+        self.whash = self.heads(None)
         self.wfirst = np.append(np.searchsorted(self.wstart, self.starts), len(self.wstart))
 
+    def heads(self, n: int | None) -> np.ndarray:
+        """The hash of each word's first n code points, of all of a word that has no more."""
+        total, down = self._sums
+        size = self.wend - self.wstart
+        if n is not None:
+            size = np.minimum(size, n)
+        with np.errstate(over="ignore"):
+            return mix64((total[self.wstart + size] - total[self.wstart]) * down[self.wstart] + size.astype(np.uint64))
+
     def grams(self, n: int) -> np.ndarray:
         """A hash of each n words in a row, by the first one's index; some span two texts."""
         h = self.whash

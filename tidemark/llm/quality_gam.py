@@ -7,8 +7,8 @@ tables.  A document's score is an intercept plus one table entry a feature and a
 vectorised indexing.  Two such models, of low quality and of toxicity, share the features and bins.
 
 The models are trained on at most ``sample`` labelled documents, taken in the order of a hash of the
-id.  The sample's distinct texts give the word evidence (words that speak for a toxic or a poor text, by
-smoothed log-odds), cross-fitted by folds, then bins and tables.  Everything else reads all rows.
+id.  The sample's distinct texts give the evidence (words, and heads of words, that speak for a toxic or a poor
+text, by smoothed log-odds), cross-fitted by folds, then bins and tables.  Everything else reads all rows.
 """
 
 from __future__ import annotations
@@ -34,12 +34,18 @@ CUT = 0.5
 FEATURES = [
     "log_words", "mean_word", "letters", "digits", "upper", "symbols", "space", "lines",
     "symbol_runs", "distinct_words", "top_word", "repeats", "long_words", "short_words",
-    "toxic_max", "toxic_share", "poor_max", "poor_share",
+    *(f"{label}_{unit}_{what}" for label in ("toxic", "poor") for unit in ("word", "head") for what in ("max", "share", "count")),
 ]
+#: Where the features of evidence begin.
+SHAPE = 14
+#: What a word's evidence is kept for: the whole word, and its first code points.
+UNITS = (None, 5)
+Evidence = list[tuple[np.ndarray, np.ndarray]]
 
 
-def features(texts: list[str], toxic: tuple[np.ndarray, np.ndarray], poor: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A row a text.  toxic, poor: sorted word hashes and their evidence.  An empty text gives zeros."""
+def features(texts: list[str], evidence: Evidence) -> np.ndarray:
+    """A row a text.  evidence: sorted hashes and their log-odds, of toxic and then of poor texts, for each of UNITS.
+    An empty text gives zeros."""
     from .common import TextChunk, alnum_table, chunked
 
     out = np.zeros((len(texts), len(FEATURES)))
@@ -80,28 +86,33 @@ def features(texts: list[str], toxic: tuple[np.ndarray, np.ndarray], poor: tuple
         x[:, 10] = top / some
         same = np.append(False, c.whash[1:] == c.whash[:-1])[: len(c.whash)]
         x[:, 11], x[:, 12], x[:, 13] = by_word(same), by_word(size > 15), by_word(size <= 2)
-        for at, (keys, weight) in ((14, toxic), (16, poor)):
-            if len(keys) and len(c.whash):
-                pos = np.minimum(np.searchsorted(keys, c.whash), len(keys) - 1)
-                found = np.where(keys[pos] == c.whash, weight[pos], 0.0)
+        hashes = [c.whash if n is None else c.heads(n) for n in UNITS]
+        for i, (keys, weight) in enumerate(evidence):
+            own = hashes[i % len(UNITS)]
+            if len(keys) and len(own):
+                pos = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                found = np.where(keys[pos] == own, weight[pos], 0.0)
                 most = np.zeros(len(nw))
                 np.maximum.at(most, text_of, found)
+                at = SHAPE + 3 * i
                 x[:, at], x[:, at + 1] = most, by_word(found)
+                x[:, at + 2] = np.log1p(np.bincount(text_of, found > 0, len(nw)))
         x[nw == 0, 1:] = 0
     return out
 
 
 class WordCounts:
-    """In how many texts of each label and fold each word stands."""
+    """In how many texts of each label and fold each word, or head of so many code points, stands."""
 
-    def __init__(self, texts: list[str], marks: list[np.ndarray], folds: int):
+    def __init__(self, texts: list[str], marks: list[np.ndarray], folds: int, head: int | None = None):
         from .common import TextChunk, chunked
 
         keys, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for a, b in chunked(texts):
             c = TextChunk(texts[a:b])
+            hashes = c.heads(head)
             for i in range(b - a):
-                own = np.unique(c.whash[c.wfirst[i] : c.wfirst[i + 1]])
+                own = np.unique(hashes[c.wfirst[i] : c.wfirst[i + 1]])
                 keys.append(own)
                 rows.append(np.full(len(own), a + i))
         self.ids, flat = np.unique(np.concatenate(keys), return_inverse=True)
@@ -244,15 +255,14 @@ def train(bins: np.ndarray, sizes: list[int], y: np.ndarray, rounds: int = ROUND
 
 @dataclass
 class QualityModel:
-    toxic_words: tuple[np.ndarray, np.ndarray]
-    poor_words: tuple[np.ndarray, np.ndarray]
+    evidence: Evidence
     edges: list[np.ndarray]
     poor: Gam
     toxic: Gam
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of low quality and of toxicity."""
-        bins = to_bins(features(texts, self.toxic_words, self.poor_words), self.edges)
+        bins = to_bins(features(texts, self.evidence), self.edges)
         return self.poor.score(bins), self.toxic.score(bins)
 
 
@@ -271,13 +281,14 @@ def fit_rows(rows: list[tuple[str, bool, bool]], folds: int = FOLDS) -> QualityM
     other folds only, so words peculiar to it don't count for it; the final evidence is that of all."""
     texts = [r[0] for r in rows]
     poor, toxic = (np.array([r[i] for r in rows], dtype=float) for i in (1, 2))
-    counts = WordCounts(texts, [toxic, poor], folds)
+    counts = [WordCounts(texts, [toxic, poor], folds, n) for n in UNITS]
+    evidence = lambda without: [c.evidence(mark, without) for mark in (0, 1) for c in counts]
     x = np.zeros((len(rows), len(FEATURES)))
     for k in range(folds):
-        x[k::folds] = features(texts[k::folds], counts.evidence(0, k), counts.evidence(1, k))
+        x[k::folds] = features(texts[k::folds], evidence(k))
     edges = bin_edges(x)
     bins, sizes = to_bins(x, edges), [len(e) + 1 for e in edges]
-    return QualityModel(counts.evidence(0), counts.evidence(1), edges, train(bins, sizes, poor), train(bins, sizes, toxic))
+    return QualityModel(evidence(None), edges, train(bins, sizes, poor), train(bins, sizes, toxic))
 
 
 def _fit_batches(batches):
@@ -302,11 +313,11 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
 
     got = labelled_sample(docs, labels, sample).coalesce(1).mapInArrow(_fit_batches, "model binary").collect()
     if not got:
-        none = (np.empty(0, np.uint64), np.empty(0))
+        none = [(np.empty(0, np.uint64), np.empty(0))] * (2 * len(UNITS))
         flat = [np.empty(0) for _ in FEATURES]
         empty = train(np.zeros((0, len(FEATURES)), int), [1] * len(FEATURES), np.empty(0))
         empty.intercept = -10.0  # nothing to learn from: nothing is rejected
-        return pickle.dumps(QualityModel(none, none, flat, empty, empty))
+        return pickle.dumps(QualityModel(none, flat, empty, empty))
     return bytes(got[0].model)
 
 
