@@ -21,7 +21,7 @@ from .common import doc_text, drop_ids, materialize, sized
 from .components import connected_components
 
 NGRAM = 3
-THRESHOLD = 0.6
+THRESHOLD = 0.55
 RECALL = 0.95
 #: Most hashes in a signature.
 SIGNATURE = 128
