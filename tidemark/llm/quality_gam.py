@@ -13,6 +13,7 @@ text, by smoothed log-odds), cross-fitted by folds, then bins and tables.  Every
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,6 +44,12 @@ UNITS = (None, 5)
 Evidence = list[tuple[np.ndarray, np.ndarray]]
 
 
+@functools.lru_cache(1)
+def capital_table() -> np.ndarray:
+    """Whether each code point changes when it is lower-cased."""
+    return np.fromiter((chr(i).lower() != chr(i) for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
 def features(texts: list[str], evidence: Evidence) -> np.ndarray:
     """A row a text.  evidence: sorted hashes and their log-odds, of toxic and then of poor texts, for each of UNITS.
     An empty text gives zeros."""
@@ -51,7 +58,8 @@ def features(texts: list[str], evidence: Evidence) -> np.ndarray:
     out = np.zeros((len(texts), len(FEATURES)))
     for first, last in chunked(texts):
         c = TextChunk(texts[first:last])
-        raw = np.frombuffer(("\n".join(texts[first:last]) + "\n").encode("utf-32-le", "replace"), dtype=np.uint32)
+        raw = np.frombuffer("".join(texts[first:last]).encode("utf-32-le", "replace"), dtype=np.uint32)
+        raw_size = np.fromiter(map(len, texts[first:last]), dtype=np.int64, count=last - first)
         x = out[first:last]
         n = np.maximum(1, c.ends - c.starts)
 
@@ -71,8 +79,9 @@ def features(texts: list[str], evidence: Evidence) -> np.ndarray:
             return (total[c.wfirst[1:]] - total[c.wfirst[:-1]]) / some
 
         x[:, 1], x[:, 2], x[:, 3] = by_word(size), share(word & ~digit), share(digit)
-        if len(raw) == len(c.codes):
-            x[:, 4] = share(raw != c.codes)
+        capitals = np.append(0, np.cumsum(capital_table()[raw]))
+        ends = np.cumsum(raw_size)
+        x[:, 4] = (capitals[ends] - capitals[ends - raw_size]) / np.maximum(1, raw_size)
         x[:, 5], x[:, 6], x[:, 7] = share(symbol), share(blank), share(c.codes == 10)
         x[:, 8] = share(np.append(False, symbol[1:] & symbol[:-1]))
         text_of = np.repeat(np.arange(len(nw)), nw)
@@ -84,7 +93,7 @@ def features(texts: list[str], evidence: Evidence) -> np.ndarray:
         top = np.zeros(len(nw))
         np.maximum.at(top, t[new], run)
         x[:, 10] = top / some
-        same = np.append(False, c.whash[1:] == c.whash[:-1])[: len(c.whash)]
+        same = np.append(False, (c.whash[1:] == c.whash[:-1]) & (text_of[1:] == text_of[:-1]))[: len(c.whash)]
         x[:, 11], x[:, 12], x[:, 13] = by_word(same), by_word(size > 15), by_word(size <= 2)
         hashes = [c.whash if n is None else c.heads(n) for n in UNITS]
         for i, (keys, weight) in enumerate(evidence):
@@ -95,7 +104,8 @@ def features(texts: list[str], evidence: Evidence) -> np.ndarray:
                 most = np.zeros(len(nw))
                 np.maximum.at(most, text_of, found)
                 at = SHAPE + 3 * i
-                x[:, at], x[:, at + 1] = most, by_word(found)
+                # summed text by text: a running sum would round by what stands before it in the batch
+                x[:, at], x[:, at + 1] = most, np.bincount(text_of, found, len(nw)) / some
                 x[:, at + 2] = np.log1p(np.bincount(text_of, found > 0, len(nw)))
         x[nw == 0, 1:] = 0
     return out
