@@ -58,7 +58,7 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
         if new.exceptAll(e.where("a <> b")).isEmpty() and e.where("a <> b").exceptAll(new).isEmpty():
             break
         e = new
-    vertices = edges.select(F.explode(F.array("a", "b")).cast("long").alias("id")).distinct()
+    vertices = edges.select(F.explode(F.array("a", "b")).alias("id")).select(F.col("id").cast("long").alias("id")).distinct()
     return vertices.join(e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")), "id", "left").select(
         "id", F.coalesce("component", "id").alias("component")
     )
