@@ -46,10 +46,10 @@ def symbol_table() -> np.ndarray:
 
 
 def symbols(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols of all texts with order - 1 end symbols before each and after the last, where each text
-    starts, how many symbols it has with the end symbol after it)."""
+    """(symbols of all texts with order - 1 end symbols, at least one, before each and after the last, where each
+    text starts, how many symbols it has with the end symbol after it)."""
     lowered = [t.lower() for t in texts]
-    pad = order - 1
+    pad = max(1, order - 1)
     n = np.fromiter(map(len, lowered), dtype=np.int64, count=len(lowered))
     flat = symbol_table()[np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), dtype=np.uint32)]
     out = np.zeros(int(n.sum()) + pad * (len(n) + 1), dtype=np.uint8)
