@@ -252,6 +252,20 @@ def test_packing_query(spark):
     assert packing.pack_documents(docs.where("false")).count() == 0
 
 
+def test_search_reaches_real_branches_past_full_pieces():
+    rng = random.Random(3)
+    sizes = sorted([min(8191, int(rng.lognormvariate(7.2, 1)) + 1) for _ in range(800)] + [8192] * 110, reverse=True)
+    assert len(packing.best_fit_decreasing(sizes, 8192)) > packing.waste_bound(sizes, 8192)
+    bins, proven = packing.bin_completion(sizes, 8192)
+    assert proven and len(bins) == packing.waste_bound(sizes, 8192)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 8192 for b in bins)
+
+
+def test_fillings_left_out_are_not_a_proof():
+    sizes = list(range(400, 100, -1))
+    assert not packing.fillings(sizes, 1000)[1] and packing.fillings([5, 4, 3], 7)[1]
+
+
 # ---- personal data --------------------------------------------------------------------------------------------------
 
 

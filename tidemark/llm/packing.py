@@ -6,21 +6,23 @@ packed on its own.  Within a group a branch and bound works on bins: the largest
 and the undominated ways to fill it are the branches.  One filling dominates another if the other's
 pieces can be parted into sets that fit into the one's pieces.  A branch is cut when the waste it has made
 leaves no room to beat the incumbent, which starts as the best-fit decreasing packing and is replaced
-by any better one: at every node the rest is packed by best fit, too.  The search ends at the waste bound
-or when its WORK is used up, with the incumbent.
+by any better one: at every node the rest is packed by best fit, too.  Pieces that fit with nothing, full ones
+above all, stand alone from the start and cost no search.  The search ends at the waste bound or when it has
+tried WORK fillings, with the incumbent, which is proven only if no node left fillings out.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 8192
 #: Sequences' worth of pieces that one group holds, about.
 GROUP_BINS = 512
-#: Work of the search on a group at most: the sum, over its nodes, of the pieces still to pack there.
+#: Work of the search on a group at most: the fillings that it tries.
 WORK = 50_000
 #: Fillings enumerated at a node at most, best first.
 WIDTH = 64
@@ -99,8 +101,9 @@ def dominated(small: tuple[int, ...], big: tuple[int, ...]) -> bool:
     return place(0)
 
 
-def fillings(rest: list[int], room: int, width: int = WIDTH) -> list[tuple[int, ...]]:
-    """Undominated sets of sizes from rest (falling, with repeats) that fit into room, fullest first.
+def fillings(rest: list[int], room: int, width: int = WIDTH) -> tuple[list[tuple[int, ...]], bool]:
+    """(undominated sets of sizes from rest (falling, with repeats) that fit into room, fullest first; whether
+    these are all of them).
 
     Sets are tried by falling sizes; a set is feasible only if maximal: nothing left over would fit beside it.
     """
@@ -112,17 +115,21 @@ def fillings(rest: list[int], room: int, width: int = WIDTH) -> list[tuple[int,
     budget = [width * 50]
 
     def extend(i: int, left: int, taken: tuple[int, ...]) -> None:
-        if budget[0] <= 0:
+        if budget[0] < 0:
             return
         budget[0] -= 1
-        while i < len(values) and values[i] > left:
-            i += 1
+        if i < len(values) and values[i] > left:
+            i = _above(values, left, len(values))
         if i == len(values):
             used: dict[int, int] = {}
             for v in taken:
                 used[v] = used.get(v, 0) + 1
-            if not any(v <= left and used.get(v, 0) < count[v] for v in reversed(values)):
-                found.append(taken)
+            for v in reversed(values):
+                if v > left:
+                    break
+                if used.get(v, 0) < count[v]:
+                    return
+            found.append(taken)
             return
         v = values[i]
         own = sum(1 for x in taken if x == v)
@@ -131,36 +138,66 @@ def fillings(rest: list[int], room: int, width: int = WIDTH) -> list[tuple[int,
         extend(i + 1, left, taken)
 
     extend(0, room, ())
-    found = sorted(set(found), key=lambda x: (-sum(x), len(x), tuple(-y for y in x)))[: 4 * width]
+    whole = budget[0] >= 0
+    ranked = sorted(set(found), key=lambda x: (-sum(x), len(x), tuple(-y for y in x)))
+    whole, found = whole and len(ranked) <= 4 * width, ranked[: 4 * width]
     kept: list[tuple[int, ...]] = []
     for f in found:
         if not any(f != k and len(f) <= 12 and dominated(f, k) for k in kept):
-            kept.append(f)
             if len(kept) == width:
+                whole = False
                 break
-    return kept or [()]
-
-
-def bin_completion(sizes: list[int], capacity: int, work: int = WORK) -> tuple[list[list[int]], bool]:
-    """(bins of indexes into sizes, whether proven optimal).  sizes falls and none exceeds capacity."""
+            kept.append(f)
+    return kept or [()], whole
+
+
+def close_fillings(rest: list[int], room: int, width: int = WIDTH) -> list[tuple[int, ...]]:
+    """Sets of sizes from rest (falling) that leave little room, fullest first: a first piece, the largest second one
+    that fits, then more by falling sizes.  Cheap where rest is long; tried before all fillings are listed."""
+    sizes = np.array(rest, dtype=np.int64)
+    first = np.flatnonzero(np.append(True, sizes[1:] != sizes[:-1]) & (sizes <= room)) if rest else np.empty(0, np.int64)
+    second = np.maximum(np.searchsorted(-sizes, sizes[first] - room), first + 1)  # the largest that fits, further on
+    paired = np.append(sizes, 0)[second]
+    found = set()
+    for k in np.argsort(room - sizes[first] - paired, kind="stable")[:width].tolist():
+        taken = [rest[first[k]]]
+        left, at = room - taken[0], int(second[k])
+        while at < len(rest):
+            taken.append(rest[at])
+            left -= rest[at]
+            at = max(at + 1, _above(rest, left, len(rest)))
+        found.add(tuple(taken))
+    return sorted(found, key=lambda x: (-sum(x), len(x), tuple(-y for y in x)))
+
+
+def complete_bins(sizes: list[int], capacity: int, work: int = WORK) -> tuple[list[list[int]], bool, int]:
+    """(bins of indexes into sizes, whether proven optimal, fillings tried).  sizes falls and none exceeds capacity."""
+    # pieces with no room for the smallest stand alone in every packing
+    alone = _above(sizes, capacity - sizes[-1], len(sizes) - 1) if sizes else 0
+    lone, sizes = [[i] for i in range(alone)], sizes[alone:]
     best = best_fit_decreasing(sizes, capacity)
     bound = waste_bound(sizes, capacity)
     if len(best) <= bound:
-        return best, True
-    total, left = sum(sizes), [work]
+        return lone + [[alone + i for i in b] for b in best], True, 0
+    total, left, whole = sum(sizes), work, True
     chosen: list[tuple[int, ...]] | None = None
     goal = len(best)
 
+    def ways(rest: list[int], room: int):
+        nonlocal whole
+        close = close_fillings(rest, room)
+        yield from close
+        every, all_of_them = fillings(rest, room)
+        whole = whole and all_of_them
+        yield from (f for f in every if f not in close)
+
     def search(rest: list[int], done: list[tuple[int, ...]], waste: int) -> bool:
         """True once the bound is met or the work is used up."""
-        nonlocal chosen, goal
+        nonlocal chosen, goal, left, whole
         if not rest:
             if len(done) < goal:
                 goal, chosen = len(done), list(done)
             return goal <= bound
-        if left[0] <= 0:
-            return True
-        left[0] -= len(rest)
         quick = best_fit_decreasing(rest, capacity) if done else []
         if done and len(done) + len(quick) < goal:
             goal, chosen = len(done) + len(quick), [*done, *(tuple(rest[i] for i in b) for b in quick)]
@@ -170,7 +207,11 @@ def bin_completion(sizes: list[int], capacity: int, work: int = WORK) -> tuple[l
         if waste > (goal - 1) * capacity - total or len(done) + waste_bound(rest, capacity) >= goal:
             return False
         head, others = rest[0], rest[1:]
-        for filling in fillings(others, capacity - head):
+        for filling in ways(others, capacity - head):
+            if left <= 0:
+                whole = False
+                return True
+            left -= 1
             after = list(others)
             for v in filling:
                 del after[_above(after, v, len(after))]
@@ -187,13 +228,18 @@ def bin_completion(sizes: list[int], capacity: int, work: int = WORK) -> tuple[l
         search(list(sizes), [], 0)
     finally:
         sys.setrecursionlimit(old)
-    proven = goal <= bound or left[0] > 0
+    proven = goal <= bound or whole
     if chosen is None:
-        return best, proven
+        return lone + [[alone + i for i in b] for b in best], proven, work - left
     where: dict[int, list[int]] = {}
     for i in range(len(sizes) - 1, -1, -1):
-        where.setdefault(sizes[i], []).append(i)
-    return [[where[v].pop() for v in b] for b in chosen], proven
+        where.setdefault(sizes[i], []).append(alone + i)
+    return lone + [[where[v].pop() for v in b] for b in chosen], proven, work - left
+
+
+def bin_completion(sizes: list[int], capacity: int, work: int = WORK) -> tuple[list[list[int]], bool]:
+    """(bins of indexes into sizes, whether proven optimal).  sizes falls and none exceeds capacity."""
+    return complete_bins(sizes, capacity, work)[:2]
 
 
 def _pack(capacity: int, work: int):
