@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, lm_score, ngram_join, packing, pii, quality_gam, token_rollup
+from tidemark.llm import decontaminate, lm_score, ngram_join, packing, pii, quality_gam, token_rollup, word_lm
 from tidemark.llm.common import TextChunk, words
 
 SF = "/root/testdata/sf0.001"
@@ -538,6 +538,44 @@ def test_lm_on_awkward_tables(spark):
     assert lm_score.lm_scores(docs.where("false")).count() == 0
 
 
+def plain_word_log_prob(texts):
+    lines = [[None, *re.findall(r"[^\W_]+|[^\w\s]|_", t), None] for t in texts]
+    pairs, ones = {}, {}
+    for s in lines:
+        for v, w in zip(s, s[1:]):
+            pairs.setdefault(v, {})[w] = pairs.get(v, {}).get(w, 0) + 1
+            ones[w] = ones.get(w, 0) + 1
+    n, k = sum(ones.values()), len(ones)
+
+    def p(v, w):
+        seen, lower = pairs[v], (ones[w] + k / (k + 1)) / (n + k)
+        return (seen.get(w, 0) + len(seen) * lower) / (sum(seen.values()) + len(seen))
+
+    return [(len(s) - 1, sum(np.log(p(v, w)) for v, w in zip(s, s[1:]))) for s in lines]
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 24, 16])
+def test_word_model_equals_its_formula(spark, shard_bytes):
+    texts = ["the cat sat.", "the dog sat on the cat", "", "Ünïcode, 12.5 & more_x", "aaaa aaaa", "the cat sat.", "кот сидел", "пёс сидел 13.5"]
+    got = {r.doc_id: (r.symbols, r.log_prob) for r in word_lm.word_lm_scores(docs_of(spark, texts), shard_bytes).collect()}
+    for i, (n, want) in enumerate(plain_word_log_prob(texts)):
+        assert got[i][0] == n and got[i][1] == pytest.approx(want)
+
+
+def test_op8_folds_nothing_and_takes_awkward_tables(spark, tmp_path):
+    from tidemark.llm.entry import op8_lm_scoring
+
+    texts = ["sum 12 !", "sum 12 !", "sum 34 ?", "кот кот", "кот кот", "пёс сон"]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.log_prob for r in op8_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[0] == pytest.approx(got[1]) and got[0] > got[2] and got[3] > got[5]
+    docs = awkward(spark)
+    rows = word_lm.word_lm_scores(docs).collect()
+    assert len(rows) == docs.where("doc_id is not null and text is not null").count()
+    assert all(np.isfinite(r.log_prob) and r.log_prob < 0 for r in rows) and [r.symbols for r in rows if r.doc_id == 3] == [1]
+    assert word_lm.word_lm_scores(docs.where("false")).count() == 0
+
+
 # ---- shared -------------------------------------------------------------------------------------------------------
 
 

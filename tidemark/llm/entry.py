@@ -11,12 +11,12 @@ from . import embed_dedup, warc
 from .common import table
 from .decontaminate import benchmark_matches
 from .html_cut import extract_content
-from .lm_score import lm_scores
 from .ngram_join import ngram_jaccard_join
 from .packing import pack_documents
 from .pii import pii_report
 from .quality_gam import accepted
 from .token_rollup import documents_rollup
+from .word_lm import word_lm_scores
 
 
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return word_lm_scores(table(spark, sf_dir, "documents"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
