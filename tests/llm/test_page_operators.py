@@ -126,6 +126,18 @@ def test_blocks():
     assert html_cut.blocks_of("") == [] and [b.text for b in html_cut.blocks_of("plain < text")] == ["plain < text"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>t</title><body><article><p>Real content</p></article>", "<html><head><meta charset=x><link rel=y><script>a<b</script><article><p>Real content", "<head><title>t</title>Real content",
+        "<head><style>x{}</style></head><body><p>Real content", "<head><!-- <body> --><noscript><link></noscript><template><p>no</p></template><title>t</title><p>Real content", "<p>Real content<script>to the end <p>no",
+        "<noscript><p>Real content", "<svg><p>Real content", "<template><p>Real content", "<svg><text>no</text></svg><p>Real content<style>no",
+    ],
+)
+def test_missing_end_tags_lose_no_text(page):
+    assert [b.text for b in html_cut.blocks_of(page)] == ["Real content"]
+
+
 def test_extraction_keeps_the_article(spark):
     body = " ".join(["This sentence, with commas, belongs to the article and says something."] * 4)
     page = f"<title>A</title><nav><ul><li><a href=1>Home</a><li><a href=2>About</a></ul></nav><div><p>{body}</p><p>{body}</p><p>Short one.</p><p>{body}</p></div><footer>Copyright</footer>"

@@ -29,8 +29,18 @@ PLACE = 3.0
 #: Capacities are whole numbers of this fraction.
 SCALE = 1000
 
+_COMMENT = r"<!--.*?(?:-->|\Z)"
+
+
+def _skipped(kinds: str, group: str, end: str = "") -> str:
+    """An element that holds no text of the page, up to its end tag, or to what end says where that is missing."""
+    return rf"<(?P<{group}>{kinds})\b(?:[^>]*/>|.*?(?:</(?P={group})\s*>{end}))"
+
+
+# the head's end tag may be left out: it ends before text and before a tag that can't stand in it
+_HEAD = rf"<head\b[^>]*>(?:\s+|{_COMMENT}|{_skipped('script|style', 'h1', r'|\Z')}|{_skipped('title|noscript|template', 'h2')}|</?(?:base|link|meta|title|script|style|noscript|template)\b[^<>]*>|<[!?][^>]*>)*+(?:</head\s*>)?"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b(?:[^>]*/>|.*?(?:</\1\s*>|\Z))|<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>|<[!?][^>]*>", re.S | re.I
+    rf"{_COMMENT}|{_HEAD}|{_skipped('script|style', 's1', r'|\Z')}|{_skipped('noscript|template|svg', 's2')}|<(?P<closing>/?)(?P<name>[A-Za-z][A-Za-z0-9]*)(?P<rest>[^<>]*)>|<[!?][^>]*>", re.S | re.I
 )
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "em", "font", "i", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -80,10 +90,10 @@ def blocks_of(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page):
         take(page[last : m.start()])
         last = m.end()
-        name = m.group(3)
+        name = m.group("name")
         if not name:
             continue
-        name, closing, rest = name.lower(), m.group(2), m.group(4)
+        name, closing, rest = name.lower(), m.group("closing"), m.group("rest")
         if name in _INLINE:
             if name == "a":
                 anchors = max(0, anchors - 1) if closing else anchors + 1
