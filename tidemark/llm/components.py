@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +12,9 @@ from .common import materialize
 LOCAL_EDGES = 4_000_000
 
 
-def _union_find(batches):
-    import numpy as np
-    import pyarrow as pa
-
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not got:
-        return
-    a, b = (np.concatenate(x) for x in zip(*got))
-    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(ids))
+def labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label, which maps each node to one of its component, once the edges (a, b) have joined some."""
+    label = label.copy()
     while True:  # hook larger roots below smaller ones, then compress
         low = np.minimum(label[a], label[b])
         before = label.copy()
@@ -30,7 +23,18 @@ def _union_find(batches):
         while (label[label] != label).any():
             label = label[label]
         if (label == before).all():
-            break
+            return label
+
+
+def _union_find(batches):
+    import pyarrow as pa
+
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not got:
+        return
+    a, b = (np.concatenate(x) for x in zip(*got))
+    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = labels(np.arange(len(ids)), flat[: len(a)], flat[len(a) :])
     for i in range(0, len(ids), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(ids[label[i : i + 100_000]])], names=["id", "component"])
 

@@ -11,7 +11,7 @@ from . import embed_dedup, warc
 from .common import table
 from .decontaminate import benchmark_matches
 from .html_cut import extract_content
-from .ngram_join import ngram_jaccard_join
+from .ngram_join import ngram_classes
 from .packing import pack_documents
 from .pii import pii_report
 from .quality_gam import accepted
@@ -44,7 +44,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_classes(table(spark, sf_dir, "documents"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
