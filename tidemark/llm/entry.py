@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import embed_dedup, warc
 from .common import table
@@ -56,7 +55,12 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings")).withColumn("cosine", F.round("cosine", 6))
+    return embed_dedup.near_duplicate_classes(table(spark, sf_dir, "embeddings"))
+
+
+def near_copies_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 over each vector, a copy and three perturbed ones, so that SQL sees links and copies."""
+    return embed_dedup.near_duplicate_classes(embed_dedup.with_copies(table(spark, sf_dir, "embeddings")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
+        "near_copies_of_vectors": near_copies_of_vectors,
     }
 
 
@@ -78,4 +83,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_revisit_resolution": warc.ORACLE,
         "op10_embedding_near_dedup": embed_dedup.ORACLE,
+        "near_copies_of_vectors": embed_dedup.COPIES_ORACLE,
     }
