@@ -321,7 +321,8 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     """The trained model, pickled: some hundred KB, whatever the size of docs."""
     import pickle
 
-    got = labelled_sample(docs, labels, sample).coalesce(1).mapInArrow(_fit_batches, "model binary").collect()
+    # repartition, not coalesce: documents are read by all tasks, and only the bounded sample comes to one
+    got = labelled_sample(docs, labels, sample).repartition(1).mapInArrow(_fit_batches, "model binary").collect()
     if not got:
         none = [(np.empty(0, np.uint64), np.empty(0))] * (2 * len(UNITS))
         flat = [np.empty(0) for _ in FEATURES]
