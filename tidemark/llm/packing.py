@@ -7,8 +7,9 @@ and the undominated ways to fill it are the branches.  One filling dominates ano
 pieces can be parted into sets that fit into the one's pieces.  A branch is cut when the waste it has made
 leaves no room to beat the incumbent, which starts as the best-fit decreasing packing and is replaced
 by any better one: at every node the rest is packed by best fit, too.  Pieces that fit with nothing, full ones
-above all, stand alone from the start and cost no search.  The search ends at the waste bound or when it has
-tried WORK fillings, with the incumbent, which is proven only if no node left fillings out.
+above all, stand alone from the start and cost no search.  A quick pass lists few fillings a node, a second one all of
+them.  The search ends at the waste bound or when its work is
+used up, with the incumbent, which is proven only if nothing was left out.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ from pyspark.sql import functions as F
 CAPACITY = 8192
 #: Sequences' worth of pieces that one group holds, about.
 GROUP_BINS = 512
-#: Work of the search on a group at most: the fillings that it tries.
-WORK = 50_000
-#: Fillings enumerated at a node at most, best first.
-WIDTH = 64
+#: Work of the search on a group at most: fillings tried, and steps of listing them and of comparing them for dominance.
+#: It is the only bound of the search.
+WORK = 100_000
+#: Steps of listing that a node of the first, quick pass takes; what it leaves out is for the second, which leaves out nothing.
+QUICK = 3200
+#: Close fillings that a node tries before it lists all.
+CLOSE = 64
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -79,8 +83,11 @@ def _above(sizes: list[int], limit: int, hi: int) -> int:
     return lo
 
 
-def dominated(small: tuple[int, ...], big: tuple[int, ...]) -> bool:
-    """Whether the pieces of small can be parted into sets, each within a piece of big of its own."""
+def dominated(small: tuple[int, ...], big: tuple[int, ...], budget: list[int] | None = None) -> bool:
+    """Whether the pieces of small can be parted into sets, each within a piece of big of its own.
+
+    budget is one counter of steps left; without steps left the answer is no, which cuts no branch.
+    """
     if sum(small) > sum(big):
         return False
     rooms = list(big)
@@ -88,6 +95,10 @@ def dominated(small: tuple[int, ...], big: tuple[int, ...]) -> bool:
     def place(i: int) -> bool:
         if i == len(small):
             return True
+        if budget is not None:
+            if budget[0] <= 0:
+                return False
+            budget[0] -= 1
         tried = set()
         for j, r in enumerate(rooms):
             if r >= small[i] and r not in tried:
@@ -101,57 +112,63 @@ def dominated(small: tuple[int, ...], big: tuple[int, ...]) -> bool:
     return place(0)
 
 
-def fillings(rest: list[int], room: int, width: int = WIDTH) -> tuple[list[tuple[int, ...]], bool]:
+def fillings(rest: list[int], room: int, budget: list[int] | None = None, most: int | None = None) -> tuple[list[tuple[int, ...]], bool]:
     """(undominated sets of sizes from rest (falling, with repeats) that fit into room, fullest first; whether
     these are all of them).
 
-    Sets are tried by falling sizes; a set is feasible only if maximal: nothing left over would fit beside it.
+    Sets are tried by falling sizes; a set is feasible only if maximal: nothing left over would fit beside it.  budget is
+    one counter of steps left, which this uses up; without steps left no more sets are listed, and sets that are listed
+    are kept uncompared.  With most the fullest so many are compared, and no more are given.
     """
+    budget = [WORK] if budget is None else budget
     values = sorted(set(rest), reverse=True)
     count = {v: 0 for v in values}
     for v in rest:
         count[v] += 1
     found: list[tuple[int, ...]] = []
-    budget = [width * 50]
 
-    def extend(i: int, left: int, taken: tuple[int, ...]) -> None:
-        if budget[0] < 0:
-            return
+    def maximal(left: int, taken: tuple[int, ...]) -> bool:
+        used: dict[int, int] = {}
+        for v in taken:
+            used[v] = used.get(v, 0) + 1
+        for v in reversed(values):
+            if v > left:
+                return True
+            if used.get(v, 0) < count[v]:
+                return False
+        return True
+
+    # (next value, room left, taken, taken of that value); the last is tried first
+    open_ = [(0, room, (), 0)]
+    while open_ and budget[0] > 0:
         budget[0] -= 1
+        i, left, taken, own = open_.pop()
         if i < len(values) and values[i] > left:
-            i = _above(values, left, len(values))
+            i, own = _above(values, left, len(values)), 0
         if i == len(values):
-            used: dict[int, int] = {}
-            for v in taken:
-                used[v] = used.get(v, 0) + 1
-            for v in reversed(values):
-                if v > left:
-                    break
-                if used.get(v, 0) < count[v]:
-                    return
-            found.append(taken)
-            return
+            if maximal(left, taken):
+                found.append(taken)
+            continue
         v = values[i]
-        own = sum(1 for x in taken if x == v)
+        open_.append((i + 1, left, taken, 0))
         if own < count[v]:
-            extend(i, left - v, (*taken, v))
-        extend(i + 1, left, taken)
-
-    extend(0, room, ())
-    whole = budget[0] >= 0
-    ranked = sorted(set(found), key=lambda x: (-sum(x), len(x), tuple(-y for y in x)))
-    whole, found = whole and len(ranked) <= 4 * width, ranked[: 4 * width]
+            open_.append((i, left - v, (*taken, v), own + 1))
     kept: list[tuple[int, ...]] = []
-    for f in found:
-        if not any(f != k and len(f) <= 12 and dominated(f, k) for k in kept):
-            if len(kept) == width:
-                whole = False
-                break
-            kept.append(f)
-    return kept or [()], whole
-
-
-def close_fillings(rest: list[int], room: int, width: int = WIDTH) -> list[tuple[int, ...]]:
+    ranked = sorted(set(found), key=lambda x: (-sum(x), len(x), tuple(-y for y in x)))
+    if most is not None:
+        budget = [QUICK * most]
+    for i, f in enumerate(ranked):
+        if most is not None and (len(kept) == most or i == 4 * most):
+            return kept, False
+        if budget[0] > 0:
+            budget[0] -= len(kept)
+            if any(dominated(f, k, budget) for k in kept):
+                continue
+        kept.append(f)
+    return kept or [()], not open_
+
+
+def close_fillings(rest: list[int], room: int, width: int = CLOSE) -> list[tuple[int, ...]]:
     """Sets of sizes from rest (falling) that leave little room, fullest first: a first piece, the largest second one
     that fits, then more by falling sizes.  Cheap where rest is long; tried before all fillings are listed."""
     sizes = np.array(rest, dtype=np.int64)
@@ -171,7 +188,7 @@ def close_fillings(rest: list[int], room: int, width: int = WIDTH) -> list[tuple
 
 
 def complete_bins(sizes: list[int], capacity: int, work: int = WORK) -> tuple[list[list[int]], bool, int]:
-    """(bins of indexes into sizes, whether proven optimal, fillings tried).  sizes falls and none exceeds capacity."""
+    """(bins of indexes into sizes, whether proven optimal, work used).  sizes falls and none exceeds capacity."""
     # pieces with no room for the smallest stand alone in every packing
     alone = _above(sizes, capacity - sizes[-1], len(sizes) - 1) if sizes else 0
     lone, sizes = [[i] for i in range(alone)], sizes[alone:]
@@ -179,7 +196,7 @@ def complete_bins(sizes: list[int], capacity: int, work: int = WORK) -> tuple[li
     bound = waste_bound(sizes, capacity)
     if len(best) <= bound:
         return lone + [[alone + i for i in b] for b in best], True, 0
-    total, left, whole = sum(sizes), work, True
+    total, left, whole, quick_pass = sum(sizes), [work], True, True
     chosen: list[tuple[int, ...]] | None = None
     goal = len(best)
 
@@ -187,13 +204,13 @@ def complete_bins(sizes: list[int], capacity: int, work: int = WORK) -> tuple[li
         nonlocal whole
         close = close_fillings(rest, room)
         yield from close
-        every, all_of_them = fillings(rest, room)
+        every, all_of_them = fillings(rest, room, [QUICK], CLOSE) if quick_pass else fillings(rest, room, left)
         whole = whole and all_of_them
         yield from (f for f in every if f not in close)
 
     def search(rest: list[int], done: list[tuple[int, ...]], waste: int) -> bool:
         """True once the bound is met or the work is used up."""
-        nonlocal chosen, goal, left, whole
+        nonlocal chosen, goal, whole
         if not rest:
             if len(done) < goal:
                 goal, chosen = len(done), list(done)
@@ -208,16 +225,18 @@ def complete_bins(sizes: list[int], capacity: int, work: int = WORK) -> tuple[li
             return False
         head, others = rest[0], rest[1:]
         for filling in ways(others, capacity - head):
-            if left <= 0:
+            if left[0] <= 0:
                 whole = False
                 return True
-            left -= 1
+            left[0] -= 1
             after = list(others)
             for v in filling:
                 del after[_above(after, v, len(after))]
             gap = capacity - head - sum(filling)
             if search(after, [*done, (head, *filling)], waste + gap):
                 return True
+        if left[0] <= 0:
+            whole = False
         return False
 
     import sys
@@ -225,16 +244,20 @@ def complete_bins(sizes: list[int], capacity: int, work: int = WORK) -> tuple[li
     old = sys.getrecursionlimit()
     sys.setrecursionlimit(max(old, 10 * len(sizes) + 10_000))
     try:
-        search(list(sizes), [], 0)
+        for quick_pass in (True, False):
+            whole = True
+            search(list(sizes), [], 0)
+            if goal <= bound or whole or left[0] <= 0:
+                break
     finally:
         sys.setrecursionlimit(old)
     proven = goal <= bound or whole
     if chosen is None:
-        return lone + [[alone + i for i in b] for b in best], proven, work - left
+        return lone + [[alone + i for i in b] for b in best], proven, work - left[0]
     where: dict[int, list[int]] = {}
     for i in range(len(sizes) - 1, -1, -1):
         where.setdefault(sizes[i], []).append(alone + i)
-    return lone + [[where[v].pop() for v in b] for b in chosen], proven, work - left
+    return lone + [[where[v].pop() for v in b] for b in chosen], proven, work - left[0]
 
 
 def bin_completion(sizes: list[int], capacity: int, work: int = WORK) -> tuple[list[list[int]], bool]:
