@@ -29,26 +29,21 @@ PLACE = 3.0
 #: Capacities are whole numbers of this fraction.
 SCALE = 1000
 
-_COMMENT = r"<!--.*?(?:-->|\Z)"
-
-
-def _skipped(kinds: str, group: str, end: str = "") -> str:
-    """An element that holds no text of the page, up to its end tag, or to what end says where that is missing."""
-    return rf"<(?P<{group}>{kinds})\b(?:[^>]*/>|.*?(?:</(?P={group})\s*>{end}))"
-
-
-# the head's end tag may be left out: it ends before text and before a tag that can't stand in it
-_HEAD = rf"<head\b[^>]*>(?:\s+|{_COMMENT}|{_skipped('script|style', 'h1', r'|\Z')}|{_skipped('title|noscript|template', 'h2')}|</?(?:base|link|meta|title|script|style|noscript|template)\b[^<>]*>|<[!?][^>]*>)*+(?:</head\s*>)?"
 _TOKEN = re.compile(
-    rf"{_COMMENT}|{_HEAD}|{_skipped('script|style', 's1', r'|\Z')}|{_skipped('noscript|template|svg', 's2')}|<(?P<closing>/?)(?P<name>[A-Za-z][A-Za-z0-9]*)(?P<rest>[^<>]*)>|<[!?][^>]*>", re.S | re.I
+    r"""<!--.*?(?:-->|\Z)|<(?P<closing>/?)(?P<name>[A-Za-z][A-Za-z0-9]*)(?P<rest>(?:[^<>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>|<[!?][^>]*(?:>|\Z)""", re.S
 )
+#: Elements that hold no text of the page; of the first two all is skipped where the end tag is missing.
+_RAW, _SKIPPED = {"script", "style"}, {"script", "style", "noscript", "template", "svg"}
+#: What may stand in the head, whose end tag may be left out: it ends before text and before any other tag.
+_HEAD = {"base", "link", "meta", "title", "script", "style", "noscript", "template"}
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*_SKIPPED, "title")}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "em", "font", "i", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: An opening tag of these closes an open one of the same kind, up to a container.
 _SELF_CLOSING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 _GOOD, _BAD = {"article", "main"}, {"nav", "aside", "footer", "header", "form", "menu"}
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*\b(ad|ads|advert|banner|breadcrumb|comment|comments|cookie|footer|menu|nav|navigation|promo|related|share|sidebar|social|widget)\b", re.I)
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
+_TITLE, _TITLE_END = re.compile(r"<title[^>]*(?:>|\Z)", re.I), re.compile(r"</title", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -65,8 +60,11 @@ def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order; block-level tags part them, inline tags don't."""
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, element number, place
+    open_: dict[str, int] = {}  # how many of each tag are on the stack
+    missing: set[str] = set()  # elements without an end tag from here on
     parts: list[str] = []
     number = last = linked = anchors = 0
+    head = False
 
     def take(chunk: str) -> None:
         nonlocal linked
@@ -87,13 +85,37 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        take(page[last : m.start()])
+    def after(name: str, at: int) -> int:
+        """Where the element that was opened before at ends; at itself where its end tag is missing."""
+        if name not in missing:
+            if m := _END[name].search(page, at):
+                return m.end()
+            missing.add(name)
+        return len(page) if name in _RAW else at
+
+    while m := _TOKEN.search(page, last):
+        chunk = page[last : m.start()]
+        if head and chunk.strip():
+            head = False
+        if not head:
+            take(chunk)
         last = m.end()
         name = m.group("name")
         if not name:
             continue
         name, closing, rest = name.lower(), m.group("closing"), m.group("rest")
+        if head:
+            if name in _HEAD:
+                if not closing and name in _END and not rest.endswith("/"):
+                    last = after(name, last)
+                continue
+            head = False
+            if name == "head":
+                continue
+        if name in _SKIPPED:
+            if not closing and not rest.endswith("/"):
+                last = after(name, last)
+            continue
         if name in _INLINE:
             if name == "a":
                 anchors = max(0, anchors - 1) if closing else anchors + 1
@@ -103,13 +125,19 @@ def blocks_of(page: str) -> list[Block]:
             continue
         close()
         anchors = 0
-        if closing:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if at:
-                del stack[at:]
+        if name == "head":
+            head = not closing
+        elif closing:
+            if open_.get(name):
+                while True:
+                    gone = stack.pop()[0]
+                    open_[gone] -= 1
+                    if gone == name:
+                        break
         elif name not in _VOID and not rest.endswith("/"):
             if name in _SELF_CLOSING and stack[-1][0] == name:
                 stack.pop()
+                open_[name] -= 1
             number += 1
             place = stack[-1][2]
             if name in _BAD or _HINT.search(rest):
@@ -117,6 +145,7 @@ def blocks_of(page: str) -> list[Block]:
             elif name in _GOOD:
                 place = 1
             stack.append((name, number, place))
+            open_[name] = open_.get(name, 0) + 1
     take(page[last:])
     close()
     return out
@@ -127,6 +156,13 @@ _TAGS = {t: i + 1 for i, t in enumerate(["p", "li", "h1", "h2", "h3", "div", "td
 WIDTHS = (8, 6, 6, 16, 5, 8)
 
 
+def title_of(page: str) -> str | None:
+    """The text of the first title; None without one, or where its end is missing."""
+    if (m := _TITLE.search(page)) and (end := _TITLE_END.search(page, m.end())):
+        return _SPACE.sub(" ", entities.unescape(page[m.end() : end.start()])).strip()
+    return None
+
+
 def block_features(blocks: list[Block]) -> np.ndarray:
     """Bin numbers, a row a block: words, share in links, stops a word, tag, words of the blocks around."""
     n = len(blocks)
@@ -302,9 +338,7 @@ def extract_content(pages: DataFrame, sample: int = SAMPLE, tables: list[np.ndar
                     continue
                 blocks = blocks_of(page)
                 keep = label(blocks, tables)
-                m = _TITLE.search(page)
-                title = _SPACE.sub(" ", entities.unescape(m.group(1))).strip() if m else None
-                out.append((title, "\n".join(x.text for x, k in zip(blocks, keep) if k), len(blocks), sum(keep)))
+                out.append((title_of(page), "\n".join(x.text for x, k in zip(blocks, keep) if k), len(blocks), sum(keep)))
             cols = list(zip(*out)) or [[]] * 4
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["page_id", "title", "text", "blocks", "content_blocks"])
