@@ -3,8 +3,9 @@
 Totals by source, language and tokenizer version are additive, so they are kept as signed deltas: an
 insert adds a document and its tokens, a delete takes them away, a revision adds the difference of its
 counts.  A batch of changes is aggregated to one row a key and published under its batch id by one
-rename; a batch that is there already is left as it is, so a retried or repeated commit changes nothing.
-Totals are the sum of the published batches; compaction folds them into one that remembers their ids.
+rename that fails where the id is there already, so a retried, repeated or concurrent commit changes nothing.
+Totals are the sum of the published batches; compaction folds them into one that remembers their ids.  The rename is
+atomic on HDFS and on local disks; an object store needs a committer that can create a key only where it is absent.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, work_path
 
+#: The vocabulary by default; any file of this form does, and the driver's copy goes to all executors.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the byte-level vocabularies cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,15 +43,19 @@ def count_tokens(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
 
     The clean counts are those of the text after redaction of personal data; only texts that it changes
     are tokenised twice.  A null text counts as empty, a null source or lang stays null, a null doc_id too.
+    path is the vocabulary's on the driver, which sends it to the executors.
     """
+    docs.sparkSession.sparkContext.addFile(path)
+    name = path.rsplit("/", 1)[-1]
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import SparkFiles
         from xxhash import xxh3_128_hexdigest
 
         from .pii import find_pii, redact
 
-        encode = encoder(path).encode_ordinary
+        encode = encoder(SparkFiles.get(name)).encode_ordinary
         for b in batches:
             out = []
             for text in b.column(3).to_pylist():
@@ -99,13 +107,20 @@ class TokenRollup:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if s.getPath().getName()[0] not in "._")
 
+    def _state(self) -> tuple[list[str], list[str], set[str]]:
+        """One look at what is published: (the last base, batches that aren't in it, ids in it).
+
+        Batches are listed first: one that a compaction takes away meanwhile is in the base that is listed after.
+        """
+        batches = self._names("batches")
+        base = self._names("bases")[-1:]
+        folded = {r.id for r in self.spark.read.parquet(f"{self.path}/bases/{base[0]}/ids").collect()} if base else set()
+        return base, [n for n in batches if n.removeprefix("b-") not in folded], folded
+
     def committed(self) -> set[str]:
         """Ids of all batches in the totals."""
-        return {x for name in self._names("batches") for x in [name.removeprefix("b-")]} | set(self._folded())
-
-    def _folded(self) -> list[str]:
-        bases = self._names("bases")
-        return [r.id for r in self.spark.read.parquet(f"{self.path}/bases/{bases[-1]}/ids").collect()] if bases else []
+        _, batches, folded = self._state()
+        return folded | {n.removeprefix("b-") for n in batches}
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch; False, and nothing happens, if its id was committed before."""
@@ -113,37 +128,52 @@ class TokenRollup:
             raise ValueError(f"not a batch id: {batch_id!r}")
         if batch_id in self.committed():
             return False
-        target, trial = f"{self.path}/batches/b-{batch_id}", f"{self.path}/.trial/{batch_id}-{id(changes):x}"
-        signed(changes).write.mode("overwrite").parquet(trial)
-        return self._publish(trial, target)
+        trial = f"{self.path}/.trial/{batch_id}-{uuid.uuid4().hex}"
+        signed(changes).write.parquet(trial)
+        # a batch that was folded into a base meanwhile may be published again: the base's ids keep it out of the totals
+        return self._publish(trial, f"{self.path}/batches/b-{batch_id}") and batch_id not in self._state()[2]
 
     def _publish(self, trial: str, target: str) -> bool:
+        """Rename trial to target; False, and trial goes, if target is there."""
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
         self._fs.mkdirs(self._path(target).getParent())
-        if self._exists(target) or not self._fs.rename(self._path(trial), self._path(target)):
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.path).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(self._path(trial), self._path(target), gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError:
+            if not self._exists(target):
+                raise
             self._fs.delete(self._path(trial), True)
             return False
         return True
 
-    def totals(self) -> DataFrame:
-        """Sums by source, language and version; keys whose documents and tokens all went are left out."""
-        parts = [f"{self.path}/bases/{n}/totals" for n in self._names("bases")[-1:]]
-        folded = set(self._folded())
-        parts += [f"{self.path}/batches/{n}" for n in self._names("batches") if n.removeprefix("b-") not in folded]
+    def _sums(self, base: list[str], batches: list[str]) -> DataFrame:
+        parts = [f"{self.path}/bases/{n}/totals" for n in base] + [f"{self.path}/batches/{n}" for n in batches]
         found = self.spark.read.schema(TOTALS).parquet(*parts) if parts else self.spark.createDataFrame([], TOTALS)
         sums = found.groupBy(*KEY).agg(*(F.sum(c).cast("long").alias(c) for c in ("docs", "tokens", "chars")))
         return sums.where("docs <> 0 or tokens <> 0 or chars <> 0")
 
+    def totals(self) -> DataFrame:
+        """Sums by source, language and version; keys whose documents and tokens all went are left out."""
+        base, batches, _ = self._state()
+        return self._sums(base, batches)
+
     def compact(self) -> None:
-        """Fold all published batches into a new base; their ids stay known."""
-        ids, number = sorted(self.committed()), len(self._names("bases"))
-        if not ids:
+        """Fold the batches published so far into a new base; their ids stay known.
+
+        Batches are listed once: one that is committed meanwhile is in neither the base nor its ids, and counts on its own.
+        """
+        base, batches, folded = self._state()
+        if not batches:
             return
-        trial = f"{self.path}/.trial/base-{number}"
-        self.totals().write.mode("overwrite").parquet(f"{trial}/totals")
-        self.spark.createDataFrame([(i,) for i in ids], "id string").write.mode("overwrite").parquet(f"{trial}/ids")
+        trial = f"{self.path}/.trial/base-{uuid.uuid4().hex}"
+        self._sums(base, batches).write.parquet(f"{trial}/totals")
+        ids = sorted(folded | {n.removeprefix("b-") for n in batches})
+        self.spark.createDataFrame([(i,) for i in ids], "id string").write.parquet(f"{trial}/ids")
+        number = int(base[0]) + 1 if base else 0
         if self._publish(trial, f"{self.path}/bases/{number:09d}"):
-            for i in ids:
-                self._fs.delete(self._path(f"{self.path}/batches/b-{i}"), True)
+            for n in batches:
+                self._fs.delete(self._path(f"{self.path}/batches/{n}"), True)
 
 
 def documents_rollup(docs: DataFrame, path: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
