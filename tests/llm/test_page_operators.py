@@ -1,12 +1,17 @@
 """Revisits, page extraction and vectors against brute force, and on awkward tables."""
 
+import gzip
+import io
 import itertools
 import os
 import random
+import time
 
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.llm import embed_dedup, entry, html_cut, warc
@@ -102,6 +107,45 @@ def test_queries_equal_sql(spark, name, table):
     assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
 
 
+def test_dirty_headers_and_a_hot_url(spark):
+    rows = [("r1", "response", "u.com/a", 1, 200, {"ETag": '"1"', "etag": '"2"', "ETAG": '"0"'}, None), ("v1", "revisit", "u.com/a", 2, 304, {"etag": '"2"'}, None)]
+    got = warc.resolve_revisits(records(spark, rows)).first()
+    assert (got.verdict, got.headers) == ("etag", 'etag: "2"')
+    rng = random.Random(5)
+    rows = [(f"x{i}", rng.choice(["response", "revisit"]), rng.choice(["hot.com/", "hot.com", "b.com", "c.com"]), rng.randrange(60), rng.choice([200, 200, 500]), {"ETag": f'"{rng.randrange(3)}"', "N": str(i)}, None) for i in range(400)]
+    whole = sorted(map(repr, warc.resolve_revisits(records(spark, rows)).collect()))
+    for span in (150, 20, 3):
+        assert sorted(map(repr, warc.resolve_revisits(records(spark, rows), span).collect())) == whole
+
+
+def test_cut_and_trailing_gzip():
+    parts = [warc.format_record("response", f"urn:{i}", f"http://a.com/{i}", "2026-01-01T00:00:00Z", 200, {"ETag": str(i)}, b"x" * 5000 + bytes(range(256)) * i) for i in range(4)]
+    plain = list(warc.parse_warc(b"".join(parts)))
+    packed = b"".join(map(gzip.compress, parts))
+    assert list(warc.parse_warc(packed)) == plain and list(warc.parse_warc(gzip.compress(b"".join(parts)))) == plain and list(warc.parse_warc(io.BytesIO(packed))) == plain
+    assert list(warc.parse_warc(packed + b"trailing bytes")) == plain and list(warc.parse_warc(packed + bytes(512))) == plain
+    assert list(warc.parse_warc(packed[:-60]))[:3] == plain[:3]
+    for cut in range(0, len(packed), 97):
+        got = list(warc.parse_warc(packed[:cut]))
+        assert got == plain[: len(got)]
+    damaged = bytearray(packed)
+    damaged[len(packed) // 2] ^= 255
+    got = list(warc.parse_warc(bytes(damaged)))
+    assert got[:1] == plain[:1] and len(got) <= 4
+    head = b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: -5\r\n\r\n"
+    assert [r[1] for r in warc.parse_warc(head + parts[0])] == ["response"]
+    long_body = warc.format_record("response", "urn:l", "http://a.com/l", "2026-01-01T00:00:00Z", 200, {}, b"y" * 20_000_000)
+    assert len(next(warc.parse_warc(gzip.compress(long_body, 1)))[-1]) == 20_000_000
+
+
+@settings(max_examples=100, deadline=2000)
+@given(st.binary(max_size=300))
+def test_any_bytes_are_parsed(data):
+    list(warc.parse_warc(data))
+    list(warc.parse_warc(b"WARC/1.1\r\n" + data))
+    list(warc.parse_warc(b"\x1f\x8b" + data))
+
+
 # ---- page extraction ------------------------------------------------------------------------------------------------
 
 
@@ -139,6 +183,55 @@ def test_missing_end_tags_lose_no_text(page):
     assert [b.text for b in html_cut.blocks_of(page)] == ["Real content"]
 
 
+def test_attributes_titles_and_stray_ends():
+    assert [b.text for b in html_cut.blocks_of("<p title=\"a > b\">x</p><p class='c>d'>y<p class=it's>z")] == ["x", "y", "z"]
+    assert html_cut.title_of("<title>A\n b &amp; c</title>") == "A b & c" and html_cut.title_of("<title>open") is None and html_cut.title_of("<p>") is None
+    assert [b.text for b in html_cut.blocks_of("</x><div>a</y><p>b</div></div>c<head>d")] == ["a", "b", "c", "d"]
+
+
+@pytest.mark.parametrize(
+    "part", ["<title>", "<svg>", "<head><title>", "<noscript>", "<div></x>", '<a ="', "<!--", "<!", "<a ", "<p>", "<template>x", "<title", "&#", "<li></ul>", "<div class='", "<head>"]
+)
+def test_blocks_in_linear_time(part):
+    began = time.perf_counter()
+    page = part * (300_000 // len(part))
+    html_cut.blocks_of(page)
+    html_cut.title_of(page)
+    assert time.perf_counter() - began < 8
+
+
+@settings(max_examples=200, deadline=2000)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='x'>", "</div>", "<head>", "</head>", "<title>", "</title>", "<svg>", "</svg>", "<script>", "</script>", "a b", " ", "<a href=\"", "\">", "<!--", "-->", "<", ">", "&lt;", "<br/>", "<td>"]), max_size=40))
+def test_any_page_has_blocks(parts):
+    blocks = html_cut.blocks_of("".join(parts))
+    assert all(b.text and b.text == b.text.strip() and 0 <= b.linked <= len(b.text) for b in blocks)
+    assert len(html_cut.label(blocks, html_cut.default_tables())) == len(blocks)
+
+
+def test_the_cut_decides_against_the_classifier():
+    """A short block between long ones is boilerplate by its own features, content by its neighbours; and the reverse."""
+    body = " ".join(["This sentence, with commas, belongs to the article and says something."] * 4)
+    page = f"<div><p>{body}</p><p>{body}</p><p>Short one.</p><p>{body}</p></div>" + "<ul>" + "".join(f"<li><a href={i}>Link number {i}</a></li>" for i in range(6)) + "</ul>"
+    blocks = html_cut.blocks_of(page)
+    tables = html_cut.default_tables()
+    alone, together = html_cut.unary(blocks, tables) > 0, html_cut.label(blocks, tables)
+    at = [b.text for b in blocks].index("Short one.")
+    assert not alone[at] and together[at] and together[:4] == [True] * 4 and not any(together[4:])
+
+
+def test_features_and_tables_by_hand(spark):
+    blocks = html_cut.blocks_of("<nav><a>one two</a></nav><article><p>a, b. c! d? e f g h i j</p></article>")
+    assert html_cut.block_features(blocks).tolist() == [[0, 5, 0, 11, 1, 3], [3, 0, 5, 1, 0, 0]]
+    page = "<nav><a>one two</a></nav><article><p>a, b. c! d? e f g h i j</p></article>"
+    tables = html_cut.train_tables(spark.createDataFrame([(1, page), (2, page), (None, page)], "page_id long, html string"))
+    # two blocks a class: a bin that both hold has odds of (2 + 1) / (2 + bins), one that none holds 1 / (2 + bins)
+    for t, bad, good in zip(tables, *html_cut.block_features(blocks).tolist()):
+        want = np.zeros(len(t))
+        if bad != good:
+            want[good], want[bad] = 0.5 * np.log(3), -0.5 * np.log(3)
+        assert np.allclose(t, want)
+
+
 def test_extraction_keeps_the_article(spark):
     body = " ".join(["This sentence, with commas, belongs to the article and says something."] * 4)
     page = f"<title>A</title><nav><ul><li><a href=1>Home</a><li><a href=2>About</a></ul></nav><div><p>{body}</p><p>{body}</p><p>Short one.</p><p>{body}</p></div><footer>Copyright</footer>"
