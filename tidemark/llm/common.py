@@ -22,15 +22,28 @@ _created: list[tuple[SparkSession, str]] = []
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests, a laptop) is a temporary one made.
+    Only where the session names none (tests, a laptop) is a temporary one made, and only on a local master:
+    executors of a cluster would each write to a disk of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables made so far, once all results that are made of them are written; how many went."""
+    mine = [path for s, path in _created if s is spark]
+    _created[:] = [x for x in _created if x[0] is not spark]
+    for path in mine:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(mine)
+
+
 def _sweep() -> None:
     for spark, path in _created:
         try:
@@ -221,3 +234,29 @@ def chunked(texts: list[str], size: int = CHUNK):
         total += len(t) + 1
     if a < len(texts):
         yield a, len(texts)
+
+
+@functools.lru_cache(1)
+def lean_memory() -> None:
+    """Let this worker give freed memory back to the system: Arrow's own pool and glibc's growing threshold keep what the
+    largest batch took, of which a machine has as many as workers."""
+    import ctypes
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def text_slices(column: pa.Array, size: int):
+    """(first row, texts) of slices of a column of texts, of about size bytes each; a longer text comes alone.  Only a slice at
+    a time becomes Python strings."""
+    import pyarrow.compute as pc
+
+    total = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    a, n = 0, len(column)
+    while a < n:
+        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + size, side="right")))
+        yield a, column.slice(a, z - a).to_pylist()
+        a = z
