@@ -94,6 +94,83 @@ def test_pair_tree_finds_the_best_cuts():
     assert quality_gam.pair_tree(g, h)[0] == pytest.approx(best - g.sum() ** 2 / (h.sum() + 1))
 
 
+def test_features_by_plain_counting():
+    rng = random.Random(9)
+    texts = ["", "Hello hello WORLD 42!!", "a\nB  c", "!!! ...", "ÀÉ x_y 12ab", *("".join(rng.choice("aAbZ é9.,!? \n") for _ in range(rng.randrange(1, 200))) for _ in range(60))]
+    got = quality_gam.features(texts, [(np.empty(0, np.uint64), np.empty(0))] * 4)
+    for t, row in zip(texts, got):
+        low, w = t.lower(), words(t)
+        f = dict(zip(quality_gam.FEATURES, row))
+        n, k, low = max(1, len(low)), max(1, len(w)), low + "\n"  # a text's end counts as a line feed
+        assert f["log_words"] == pytest.approx(np.log1p(len(w)))
+        if not w:
+            assert not any(row[1:])
+            continue
+        want = {
+            "mean_word": sum(map(len, w)) / k, "digits": sum("0" <= c <= "9" for c in low) / n, "letters": sum(c.isalnum() and not "0" <= c <= "9" for c in low) / n,
+            "upper": sum(c.lower() != c for c in t) / max(1, len(t)), "space": sum(c in " \n" for c in low) / n, "lines": low.count("\n") / n,
+            "symbols": sum(not c.isalnum() and c not in " \n" for c in low) / n, "distinct_words": len(set(w)) / k, "top_word": max(map(w.count, w)) / k,
+            "repeats": sum(a == b for a, b in itertools.pairwise(w)) / k, "long_words": sum(len(x) > 15 for x in w) / k, "short_words": sum(len(x) <= 2 for x in w) / k,
+        }
+        for name, value in want.items():
+            assert f[name] == pytest.approx(value), (name, t)
+
+
+def test_evidence_by_plain_counting():
+    texts = ["bad word here"] * 6 + ["good word there"] * 6 + ["bad once"]
+    toxic = np.array([1.0] * 6 + [0.0] * 7)
+    counts = quality_gam.WordCounts(texts, [toxic], 2)
+    ids, odds = counts.evidence(0, least=3, z=1.0)
+    known = {w: int(TextChunk([w]).whash[0]) for w in ("bad", "here", "word", "good", "once")}
+    found = dict(zip(ids.tolist(), odds.tolist()))
+    # "here" stands in all 6 of 6 toxic and none of 7 others, "bad" in 6 of 6 and 1 of 7
+    assert found[known["here"]] == pytest.approx(np.log(6.5 / 0.5) - np.log(0.5 / 7.5)) and found[known["bad"]] == pytest.approx(np.log(6.5 / 0.5) - np.log(1.5 / 6.5))
+    assert not {known["word"], known["good"], known["once"]} & set(found)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_shallow_tree_is_the_best_cut_taken_greedily(seed):
+    rng = np.random.default_rng(seed)
+    g, h = rng.uniform(-5, 5, rng.integers(1, 12)), rng.uniform(0.1, 6, 12)
+    h = h[: len(g)]
+    gain = lambda a, z: g[a:z].sum() ** 2 / (h[a:z].sum() + 1)
+
+    def best(a, z):
+        cuts = [(gain(a, m) + gain(m, z) - gain(a, z), m) for m in range(a + 1, z) if h[a:m].sum() >= 2 and h[m:z].sum() >= 2]
+        return max(cuts, default=(-1, a))
+
+    parts = [(0, len(g))]
+    while len(parts) < 4:
+        (value, m), part = max(((best(*p), p) for p in parts), key=lambda x: x[0][0])
+        if value <= 1e-9:
+            break
+        parts.remove(part)
+        parts += [(part[0], m), (m, part[1])]
+    want = np.zeros(len(g))
+    for a, z in parts:
+        want[a:z] = g[a:z].sum() / (h[a:z].sum() + 1)
+    assert np.allclose(quality_gam.shallow_tree(g, h), want)
+
+
+def test_bins_are_quantiles():
+    rng = np.random.default_rng(4)
+    x = np.stack([rng.standard_normal(5000), rng.integers(0, 3, 5000)], axis=1)
+    edges = quality_gam.bin_edges(x, 16)
+    bins = quality_gam.to_bins(x, edges)
+    assert len(edges[0]) == 15 and np.bincount(bins[:, 0]).max() < 2 * 5000 / 16 and edges[1].tolist() == [0.5, 1.5]
+    assert all((bins[i, 0] < bins[j, 0]) <= (x[i, 0] < x[j, 0]) for i, j in rng.integers(0, 5000, (200, 2)))
+
+
+def test_sample_is_read_by_all_tasks_and_labels_that_repeat_are_joined(spark):
+    docs = docs_of(spark, [f"text number {i}" for i in range(20)]).repartition(5)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (1, None, 1), (2, 1, None), (3, None, None), (None, 0, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
+    got = {r.text: (r.poor, r.toxic) for r in quality_gam.labelled_sample(docs, labels).collect()}
+    # of labels that repeat an id, one that speaks against the text is enough
+    assert got == {"text number 1": (True, True), "text number 2": (False, False)}
+    plan = quality_gam.labelled_sample(docs, labels).repartition(1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 1, true" in plan or "RepartitionByExpression" in plan
+
+
 def test_classifier_query_equals_one_text_at_a_time(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     import pickle
