@@ -103,7 +103,7 @@ def load_sources(spark: SparkSession, root: str, names: list[str] | None = None)
     return union_sources({n: SOURCES[n](spark, root) for n in (names or SOURCES)})
 
 
-def _legacy_rows(batches):
+def _legacy_rows(batches, prefix: str):
     import json
     import sqlite3
     import struct
@@ -143,7 +143,7 @@ def _legacy_rows(batches):
             text = [texts[i] for i in ids]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([name] * n), pa.array(ids, pa.int64()), pa.array(text), pa.array([f"legacy://truw_ptbr/{i}" for i in ids]), pa.array([0] * n, pa.int64()),
+                    pa.array([name] * n), pa.array(ids, pa.int64()), pa.array(text), pa.array([f"{prefix}{i}" for i in ids]), pa.array([0] * n, pa.int64()),
                     pa.array([len(t.encode()) for t in text], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([str(r[2]) for r in rows], pa.string()),
                     pa.array([x.tolist() for x in v[ids]], pa.list_(pa.float32())),
                 ],
@@ -151,7 +151,7 @@ def _legacy_rows(batches):
             )
 
 
-def read_legacy(spark: SparkSession, path: str) -> DataFrame:
-    """The articles of SQLite containers as chunks with normalised vectors; a task a file."""
+def read_legacy(spark: SparkSession, path: str, prefix: str = "legacy://articles/") -> DataFrame:
+    """The articles of SQLite containers as chunks with normalised vectors; a task a file.  Their source_uri is prefix and the article's number."""
     schema = "file string, row_id long, canonical_text string, source_uri string, byte_start long, byte_end long, source string, label string, embedding array<float>"
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_legacy_rows, schema)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lambda batches: _legacy_rows(batches, prefix), schema)
