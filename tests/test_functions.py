@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -10,13 +12,13 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import CorpusError
 from tidemark.functions.hashing import chunk_id, citation_id, little_endian, parse_citation
-from tidemark.functions.stats import nearest_rank
+from tidemark.functions.stats import nearest_ranks
 from tidemark.functions.text import check_window, join_parts, label_of, rating_label, squash, tokens, windows
 from tidemark.functions.vector import dequantize_int8, float16, quantize_int8, unit
 from tidemark.sources.container import chunk_id as chunk_id_plain
 from tidemark.sources.container import quantize
 
-GOLDEN = "sha256:dc6d19faaa082c6ca2f2301bac941cc7c44d7a574424d09a6fb5e11c23d9badc"
+GOLDEN = "sha256:d8f065a4cb7deaa39b68ddb63adbe28f2ffb9988eac55fb4573917c5eba2a5dd"
 
 
 def one(spark, column):
@@ -115,13 +117,61 @@ def test_unit_of_zero_is_null(spark):
     assert one(spark, unit(F.array(F.lit(0.0), F.lit(0.0)))) is None
 
 
-def test_nearest_rank(spark):
-    df = spark.createDataFrame([(float(x),) for x in (5, 1, 4, 2)], "x double")
+def test_nearest_ranks(spark):
+    df = spark.createDataFrame([(float(x),) for x in (5, 1, 4, 2)] + [(None,)], "x double")
     # (n - 1) * 0.5 = 1.5: even takes index 2, away takes 2; (n - 1) / 6 = 0.5: even takes 0, away 1
-    assert df.agg(nearest_rank(F.col("x"), 0.5).alias("p")).first().p == 4
-    assert df.agg(nearest_rank(F.col("x"), 1 / 6).alias("p")).first().p == 1
-    assert df.agg(nearest_rank(F.col("x"), 1 / 6, "away").alias("p")).first().p == 2
-    assert math.isnan(df.where("false").agg(nearest_rank(F.col("x"), 0.5).alias("p")).first().p)
+    got = nearest_ranks(df, "x", {"a": (0.5, "even"), "b": (1 / 6, "even"), "c": (1 / 6, "away"), "d": (1.0, "even"), "e": (0.0, "away")}).first()
+    assert tuple(got) == (4, 1, 2, 5, 1)
+    assert math.isnan(nearest_ranks(df.where("false"), "x", {"a": (0.5, "even")}).first().a)
+
+
+@pytest.mark.parametrize("sorted_whole", [10**6, 0])
+def test_nearest_ranks_of_groups(spark, sorted_whole):
+    """Whole groups sorted, and only what lies near a rank: equal, with ties, NaN, null keys and a group without values."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([float(rng.randrange(50)), rng.random(), float("nan")])) for _ in range(4000)] + [("none", None), ("one", 7.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    wanted = {"p0": (0.0, "even"), "p50": (0.5, "even"), "p95": (0.95, "away"), "p100": (1.0, "even")}
+    got = {r.g: tuple(r)[1:] for r in nearest_ranks(df, "x", wanted, ("g",), sorted_whole).collect()}
+    assert set(got) == {"a", "b", None, "none", "one"}
+    for g, values in got.items():
+        own = sorted((x for k, x in rows if k == g and x is not None), key=lambda x: (math.isnan(x), x))
+        for value, (p, ties) in zip(values, wanted.values()):
+            if not own:
+                assert math.isnan(value)
+                continue
+            at = (len(own) - 1) * p
+            want = own[round(at) if ties == "even" else math.floor(at + 0.5)]
+            assert value == want or (math.isnan(value) and math.isnan(want))
+
+
+def windows_by_hand(text, size, overlap):
+    out, step, at = [], size - overlap, 0
+    while text:
+        start = len(text[:at].encode())
+        piece = text[at : at + size]
+        out.append((piece, start, start + len(piece.encode())))
+        if at + size >= len(text):
+            break
+        at += step
+    return out
+
+
+@pytest.mark.parametrize("size, overlap", [(512, 64), (10, 0), (7, 6), (3, 1), (100, 99)])
+def test_windows_over_parts(spark, size, overlap):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aé漢😀\n ") for _ in range(n)) for n in (0, 1, 2, 9, 10, 11, 63, 64, 65, 449, 640, 5000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "i int, t string")
+    got = {r.i: r.w for r in df.select("i", windows(F.col("t"), size, overlap).alias("w")).collect()}
+    assert got.pop(99) is None
+    assert {i: [tuple(x) for x in w] for i, w in got.items()} == {i: windows_by_hand(t, size, overlap) for i, t in enumerate(texts)}
+
+
+def test_windows_of_a_long_text_take_linear_time(spark):
+    df = spark.createDataFrame([("word é " * 300_000,)], "t string")
+    began = time.perf_counter()
+    n = df.select(F.size(windows(F.col("t"), 512, 64)).alias("n")).first().n
+    assert n == 1 + math.ceil((2_100_000 - 512) / 448) and time.perf_counter() - began < 30
 
 
 def test_source_uri_prefix(spark):

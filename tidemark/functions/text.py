@@ -34,22 +34,46 @@ def check_window(max_chars: int, overlap: int) -> None:
         raise CorpusError("overlap must be at least 0 and below max_chars")
 
 
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once; an expression that a lambda names is computed anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Windows that start in one part of a text.
+PART_WINDOWS = 64
+
+
 def windows(text: Column, max_chars: int = 512, overlap: int = 0) -> Column:
     """An array of structs (piece, byte_start, byte_end): windows over code points with their UTF-8 byte spans.
 
-    An empty text has no window, and the last window ends with the text.
+    An empty text has no window, and the last window ends with the text.  The text is cut into parts of some windows
+    first, so that no window is looked for from the start of the text: the work follows its length.
     """
     check_window(max_chars, overlap)
     step, length = max_chars - overlap, F.char_length(text)
-    last = F.ceil((length - max_chars) / step)
-    indexes = F.when(length > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), last).cast("int"))).otherwise(F.array().cast("array<int>"))
+    per_part = max(PART_WINDOWS, -(-max_chars // step))
+    total = F.when(length > 0, F.greatest(F.lit(0), F.ceil((length - max_chars) / step)) + 1).otherwise(0).cast("int")
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{per_part * step}}}"), F.lit(0))
+
+    def of_text(whole: Column) -> Column:
+        parts = whole["parts"]
+
+        def of_part(part: Column, b: Column) -> Column:
+            base = F.aggregate(F.slice(whole["sizes"], F.lit(1), b), F.lit(0).cast("long"), lambda x, y: x + y)
+            longer = F.concat(part, F.left(F.coalesce(F.get(parts, b + 1), F.lit("")), F.lit(overlap)))
+            count = F.least(F.lit(per_part), whole["total"] - b * per_part)
+            indexes = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+
+            def window(own: Column, j: Column) -> Column:
+                start = own["base"] + F.octet_length(F.substring(part, F.lit(1), j * step))
+                return _let(F.substring(own["longer"], j * step + 1, F.lit(max_chars)), lambda piece: F.struct(piece.alias("piece"), start.alias("byte_start"), (start + F.octet_length(piece)).alias("byte_end")))
+
+            return _let(F.struct(base.alias("base"), longer.alias("longer")), lambda own: F.transform(indexes, lambda j: window(own, j)))
 
-    def window(j: Column) -> Column:
-        start = F.octet_length(F.substring(text, F.lit(1), j * step)).cast("long")
-        piece = F.substring(text, j * step + 1, F.lit(max_chars))
-        return F.struct(piece.alias("piece"), start.alias("byte_start"), (start + F.octet_length(piece)).alias("byte_end"))
+        return F.flatten(F.transform(parts, of_part))
 
-    return F.transform(indexes, window)
+    known = _let(cut, lambda parts: F.struct(parts.alias("parts"), F.transform(parts, lambda p: F.octet_length(p).cast("long")).alias("sizes"), total.alias("total")))
+    return F.when(text.isNotNull(), _let(known, of_text))
 
 
 def label_of(value: Column, mapping: dict[str, str]) -> Column:

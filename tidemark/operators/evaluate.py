@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import nearest_rank
+from ..functions.stats import nearest_ranks
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:
@@ -22,7 +22,8 @@ def score_drift(variant: DataFrame, exact: DataFrame) -> DataFrame:
 
 def latency_summary(samples: DataFrame, value: str = "ms", ties: str = "even") -> DataFrame:
     """One row: mean and the nearest-rank 50th, 95th and 99th percentiles."""
-    return samples.agg(F.avg(value).alias("mean"), *(nearest_rank(F.col(value), p, ties).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)))
+    ranks = nearest_ranks(samples, value, {f"p{round(100 * p)}": (p, ties) for p in (0.5, 0.95, 0.99)})
+    return samples.agg(F.avg(value).alias("mean")).crossJoin(F.broadcast(ranks))
 
 
 #: (preset, measure, comparison, bound); the last bound is a multiple of the baseline's.

@@ -65,42 +65,64 @@ def score_all(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     return corpus.crossJoin(F.broadcast(q)).select("query_id", "row_id", F.round(dot(F.col("__q"), F.col("embedding")), PLACES).alias("score"))
 
 
+#: Scores that are computed at a time.
+TILE = 4_000_000
+
+
+def best_of(query, row, score, k: int):
+    """Of candidates (query, row, score), the k best of each query by falling score and, in ties, rising row; in order of query."""
+    import numpy as np
+
+    order = np.lexsort((row, -score, query))
+    query = query[order]
+    first = np.flatnonzero(np.append(True, query[1:] != query[:-1])[: len(query)])
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    keep = place < k
+    return query[keep], row[order][keep], score[order][keep]
+
+
+def stored_vectors(batch):
+    """The batch's vectors as a matrix in double precision, from floats or from (scale, q), as they are multiplied out
+    in single precision."""
+    import numpy as np
+
+    n = batch.num_rows
+    if batch.num_columns == 2:
+        return batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    scale = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float32)
+    q = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    return (q.astype(np.float32) * scale[:, None]).astype(np.float64)
+
+
 def _top(ids, matrix, k: int):
-    """A running top-k over batches of (row ids, vectors): arrays of query index, row id and score."""
+    """A running top-k over batches of (row ids, vectors): arrays of query id, row id and score."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        q = matrix.value
-        own = ids.value
-        best_score = [np.empty(0)] * len(q)
-        best_row = [np.empty(0, np.int64)] * len(q)
+        q, own = matrix.value, ids.value
+        query, row, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        floor = np.full(len(q), -np.inf)  # the k-th best score so far
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = b.column(0).to_numpy()
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
-            scores = np.round(q @ v.T, PLACES)
-            if len(rows) > k:
-                least = np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k]
-            else:
-                least = np.full(len(q), -np.inf)
-            for i in range(len(q)):
-                floor = least[i]
-                if len(best_score[i]) >= k:
-                    floor = max(floor, best_score[i][-1])
-                at = np.flatnonzero(scores[i] >= floor)
-                if len(at):
-                    s, r = np.concatenate([best_score[i], scores[i][at]]), np.concatenate([best_row[i], rows[at]])
-                    order = np.lexsort((r, -s))[:k]
-                    best_score[i], best_row[i] = s[order], r[order]
-        sizes = [len(s) for s in best_score]
-        if sum(sizes):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(own, sizes)), pa.array(np.concatenate(best_row)), pa.array(np.concatenate(best_score))],
-                names=["query_id", "row_id", "score"],
-            )
+            rows, v = b.column(0).to_numpy(), stored_vectors(b)
+            found = [(query, row, score)]
+            step = max(1, TILE // len(rows))
+            for a in range(0, len(q), step):
+                scores = np.round(q[a : a + step] @ v.T, PLACES)
+                least = floor[a : a + step]
+                if len(rows) > k:
+                    least = np.maximum(least, np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k])
+                x, y = np.nonzero(scores >= least[:, None])
+                found.append((x + a, rows[y], scores[x, y]))
+            query, row, score = best_of(*(np.concatenate(c) for c in zip(*found)), k)
+            last = np.flatnonzero(np.append(query[1:] != query[:-1], True)[: len(query)])
+            full = np.diff(np.append(-1, last)) == k
+            floor[query[last[full]]] = score[last[full]]
+        if len(query):
+            yield pa.RecordBatch.from_arrays([pa.array(own[query]), pa.array(row), pa.array(score)], names=["query_id", "row_id", "score"])
 
     return run
 
@@ -119,21 +141,24 @@ def query_blocks(queries: DataFrame, block: int = BROADCAST_VALUES):
     for i in range(passes if size.n else 0):
         got = q.where(F.pmod(F.hash("query_id"), F.lit(passes)) == i).toArrow()
         if got.num_rows:
-            yield sc.broadcast(got.column("query_id").to_numpy()), sc.broadcast(np.array(got.column("v").to_pylist()))
+            flat = got.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            yield sc.broadcast(got.column("query_id").to_numpy()), sc.broadcast(np.ascontiguousarray(flat).reshape(got.num_rows, -1))
 
 
 def exact_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int = BROADCAST_VALUES) -> DataFrame:
     """(query_id, row_id, score, rank): the k rows of greatest dot product with each normalised query.
 
-    corpus: (row_id, embedding), queries: (query_id, vector), of one dimension.  Stored vectors are taken to be
-    unit and are never divided by their norm.  Ties go to the lesser row_id.  Queries of norm zero have no rows.
+    corpus: (row_id, embedding), or as int8 vectors are stored (row_id, scale, q), queries: (query_id, vector), of one
+    dimension.  Stored vectors are taken to be unit and are never divided by their norm.  Ties go to the lesser row_id.
+    Queries of norm zero have no rows.
     """
     if k <= 0:
         raise InvalidK(k)
-    base = corpus.select(F.col("row_id").cast("long").alias("row_id"), "embedding").where("row_id is not null and embedding is not null")
+    form = ["embedding"] if "embedding" in corpus.columns else ["scale", "q"]
+    base = corpus.select(F.col("row_id").cast("long").alias("row_id"), *form).where(" and ".join(f"{c} is not null" for c in ("row_id", *form)))
     out = None
     for ids, matrix in query_blocks(queries, block):
-        same = base.where(F.size("embedding") == matrix.value.shape[1])
+        same = base.where(F.size(form[-1]) == matrix.value.shape[1])
         part = same.mapInArrow(_top(ids, matrix, k), "query_id long, row_id long, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
