@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import tidemark
 from tidemark import wire
-from tidemark.acceptance import measure_presets
+from tidemark.acceptance import measure_presets, metrics_json, read_metrics
 from tidemark.cli import process_embedder, run
 from tidemark.corpus import Corpus, build, with_row_ids
 from tidemark.errors import ERRORS, CorpusError
@@ -18,6 +18,7 @@ from tidemark.identity import check_embedder, fingerprint, resolve_model_folder
 from tidemark.operators import etl
 from tidemark.pipeline import BuildConfig, EmbeddingCache, Pipeline, prepare_sources
 from tidemark.sources import loaders
+from tidemark.sources.container import Container
 from tidemark.streaming.search import search_stream
 
 HASH = "sha256:" + "ab" * 32
@@ -281,7 +282,8 @@ def test_older_container(spark, tmp_path):
     con.commit()
     con.close()
     got = loaders.read_legacy(spark, str(path)).orderBy("row_id").collect()
-    assert [(r.canonical_text, r.byte_end, r.source_uri) for r in got][1] == ("segundo é", 10, "legacy://truw_ptbr/1")
+    assert [(r.canonical_text, r.byte_end, r.source_uri) for r in got][1] == ("segundo é", 10, "legacy://articles/1")
+    assert loaders.read_legacy(spark, str(path), "old://").first().source_uri.startswith("old://")
     assert np.allclose([r.embedding for r in got], [[0.6, 0.8], [0, 0], [1, 0]], atol=1e-6)
     con = sqlite3.connect(path)
     con.execute("DELETE FROM articles WHERE id = 2")
@@ -334,6 +336,71 @@ def test_acceptance_harness(tmp_path, corpora):
     assert rows["compressed"].drift_max < 1e-2 and rows["exact"].is_baseline
 
 
+def test_container_hash_makes_citations_agree(spark, tmp_path):
+    rows, _ = chunks(spark, 12)
+    c = build(rows, str(tmp_path / "c"), container_hash=True, **ABOUT)
+    c.export_container(str(tmp_path / "c.bin"))
+    file = Corpus.open(spark, "file://" + str(tmp_path / "c.bin"))
+    assert file.content_hash == c.content_hash and c.validate().count() == 0
+    cited = c.with_citations().orderBy("row_id").first().citation_id
+    assert file.cite(cited)["canonical_text"] == c.cite(cited)["canonical_text"] == "texto 0 comum"
+    assert build(rows, str(tmp_path / "d"), **ABOUT).content_hash != c.content_hash
+
+
+def test_graphs_of_one_shard_are_exported(spark, tmp_path):
+    rows, _ = chunks(spark, 30)
+    one, two = (build(rows, str(tmp_path / str(n)), preset="tiny", ann_shards=n, ann_ef_construction=50, **ABOUT) for n in (1, 2))
+    assert one.graph.count() == 1 and two.graph.count() == 2
+    assert Container(one.export_container()).graph() is not None and Container(two.export_container()).graph() is None
+
+
+def test_cache_survives_a_crash_between_renames(spark, tmp_path):
+    cache = EmbeddingCache(spark, str(tmp_path / "cache"))
+    row = lambda i, x: spark.createDataFrame([(i, 1, [x])], cache.SCHEMA)
+    cache.put(row("a", 1.0))
+    cache.put(row("b", 2.0))
+    cache.put(row("a", 3.0))
+    assert {(r.chunk_id, r.embedding[0]) for r in cache.read().collect()} == {("a", 3.0), ("b", 2.0)}
+    (tmp_path / "cache").rename(tmp_path / "cache.old")  # as a crash leaves it
+    assert cache.read().count() == 2 and (tmp_path / "cache").is_dir() and not (tmp_path / "cache.old").exists()
+
+
+def test_intermediates_go_and_clusters_must_name_a_folder(spark):
+    from tidemark import storage
+
+    df = storage.written(spark.range(3), "x")
+    path = storage._made[-1][1]
+    assert df.count() == 3 and storage.exists(spark, path) and storage.release(spark) >= 1 and not storage.exists(spark, path)
+
+    class Unset:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "yarn"})
+
+    with pytest.raises(CorpusError, match="checkpoint"):
+        storage.shared_folder(Unset())
+
+
+def test_commands_of_harness_gates_and_fingerprint(spark, tmp_path, corpora, capsys):
+    path = corpora[0]["exact"].path
+    out = tmp_path / "measured.json"
+    assert run(spark, ["measure", path, str(tmp_path / "variants"), "-q", "4", "-k", "3", "--json", str(out)]) == 0
+    doc = json.loads(out.read_text())
+    assert list(doc) == sorted(doc) and all(list(v) == sorted(v) for v in doc.values()) and doc["exact"]["is_baseline"] is True
+    assert metrics_json(read_metrics(spark, out.read_text())) == out.read_text()
+    good = doc | {"compressed": doc["compressed"] | {"size_ratio": 0.3, "recall_at_k": 1.0}, "tiny": doc["tiny"] | {"size_ratio": 0.2, "recall_at_k": 1.0}}
+    out.write_text(json.dumps(good))
+    assert run(spark, ["gates", str(out), str(out)]) == 0 and "FAIL" not in capsys.readouterr().out
+    bad = tmp_path / "bad.json"
+    bad.write_text(json.dumps(good | {"tiny": good["tiny"] | {"recall_at_k": 0.5}}))
+    assert run(spark, ["gates", str(out), str(bad)]) == 1 and "FAIL tiny recall_at_k" in capsys.readouterr().out
+    (tmp_path / "model").mkdir()
+    (tmp_path / "model/config.json").write_text('{"hidden_size": 7}')
+    assert run(spark, ["fingerprint", str(tmp_path / "model"), "--model-id", "m"]) == 0
+    shown = json.loads(capsys.readouterr().out)
+    assert shown["embedding_dim"] == 7 and shown["model_id"] == "m" and shown["model_hash"].startswith("sha256:")
+    assert run(spark, ["fingerprint", str(tmp_path / "nowhere/else")]) == 1
+
+
 def test_api_surface():
     assert tidemark.build is build and tidemark.Corpus is Corpus
     assert tidemark.chunk_id("a", "b", 0, 1, "c").startswith("sha256:")

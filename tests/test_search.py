@@ -1,12 +1,20 @@
+import math
+import os
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import storage
 from tidemark.errors import ERRORS
 from tidemark.operators import ann
 from tidemark.operators.evaluate import check_gates, latency_summary, recall_at_k, score_drift
 from tidemark.operators.lexical import Bm25Index, hybrid_topk, rrf
 from tidemark.operators.search import check_query, envelope, exact_topk, parse_vector, query_error, score_all
+from tidemark.plans import queries as core
+
+SF = "/root/testdata/sf0.001"
 
 
 def frame(spark, v, name="row_id", column="embedding"):
@@ -156,6 +164,94 @@ def test_graph_recall_one_shard():
     assert all(len(n) <= (32 if layer == 0 else 16) for layers in g.links for layer, n in enumerate(layers))
 
 
+def test_graph_recall_floors():
+    """The walk alone, with more rows than its beam is wide: recall at 10 and at 1 of 2000 rows of 128 dimensions."""
+    v, q = unit_rows(2000, 128, 0xCAFE), unit_rows(50, 128, 0xFACE)
+    g = ann.build_graph(v)
+    exact = np.argsort(-(q @ v.T), axis=1)
+    found = [[i for _, i in g.search(x.astype(float), 200)] for x in q]
+    assert np.mean([len(set(f[:10]) & set(e[:10].tolist())) / 10 for f, e in zip(found, exact)]) >= 0.95
+    assert np.mean([g.search(x.astype(float), 100)[0][1] == e[0] for x, e in zip(q, exact)]) >= 0.90
+    # a walk sees only part of the graph: a narrow one is not exact
+    assert all(len(f) == 200 for f in found)
+
+
+def test_sharded_graph_recall_floor(spark):
+    """10,000 rows of 384 dimensions in four graphs, and fewer candidates back from each than its beam holds."""
+    v, q = unit_rows(10_000, 384, 1), unit_rows(30, 384, 2)
+    rows = spark.createDataFrame(pa.table({"row_id": np.arange(len(v)), "embedding": pa.FixedSizeListArray.from_arrays(v.ravel(), 384).cast(pa.list_(pa.float32()))})).repartition(4)
+    index = storage.written(ann.build_index(rows, shards=4), "graph")
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, vector array<float>")
+    got = ann.ann_topk(rows, queries, 10, 400, index).collect()
+    exact = {(i, int(r)) for i, e in enumerate(np.argsort(-(q @ v.T), axis=1)[:, :10]) for r in e}
+    assert len(got) == 300 and len({(r.query_id, r.row_id) for r in got} & exact) / 300 >= 0.94
+
+
+def test_shards_and_what_they_give_back():
+    assert [ann.shards_of(n) for n in (0, 1, 3999, 4000, 20_000, 400_000, 500_000)] == [1, 1, 1, 2, 8, 8, 10]
+    assert ann.kept_by_shard(1, 400, 10) == 400 and ann.kept_by_shard(20_000, 400, 10) == 10 and ann.kept_by_shard(8, 400, 10) < 100
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_registered_graph_queries_against_exact_search(spark):
+    found = core.queries()
+    got = {(r.query_id, r.row_id): r.score for r in found["ann_topk"](spark, SF).collect()}
+    exact = {(r.query_id, r.row_id): r.score for r in found["exact_topk"](spark, SF).collect()}
+    assert len(got) == len(exact) and len(set(got) & set(exact)) >= 0.95 * len(exact) and all(got[x] == exact[x] for x in set(got) & set(exact))
+    hybrid = found["corpus_hybrid"](spark, SF).collect()
+    near = {(r.query_id, r["rank"]): r.score for r in found["corpus_search"](spark, SF).collect()}
+    # the union with lexical candidates can only raise a rank's score
+    assert len(hybrid) == len(near) and sum(r.score >= near[r.query_id, r["rank"]] - 1e-5 for r in hybrid) >= 0.95 * len(hybrid)
+
+
+def test_exact_topk_in_tiles_and_from_integers(spark, monkeypatch):
+    from tidemark.functions.vector import dequantize_int8, quantize_int8
+    from tidemark.operators import search
+
+    v = unit_rows(150, 8, 7)
+    v[40:60] = v[:20]  # ties
+    corpus = frame(spark, v).repartition(3)
+    q = frame(spark, v[:50], "query_id", "vector")
+    stored = corpus.select("row_id", quantize_int8(F.col("embedding")).alias("z"))
+    whole = {form: sorted(map(tuple, exact_topk(c, q, 7).collect())) for form, c in (("float", corpus), ("int", stored.select("row_id", "z.*")), ("back", stored.select("row_id", dequantize_int8(F.col("z")).alias("embedding"))))}
+    assert whole["int"] == whole["back"]
+    scores = np.round(v[:50].astype(float) / np.linalg.norm(v[:50].astype(float), axis=1, keepdims=True) @ v.astype(float).T, search.PLACES)
+    want = {(i, int(r)) for i, s in enumerate(scores) for r in np.lexsort((np.arange(150), -s))[:7]}
+    assert {(x[0], x[1]) for x in whole["float"]} == want
+    query, row, score = search.best_of(np.array([1, 0, 1, 1]), np.array([5, 1, 4, 3]), np.array([0.5, 0.1, 0.5, 0.4]), 2)
+    assert query.tolist() == [0, 1, 1] and row.tolist() == [1, 4, 5] and score.tolist() == [0.1, 0.5, 0.5]
+
+
+def test_bm25_in_passes_and_tiles_equals_plain_sums(spark, monkeypatch):
+    from tidemark.operators import lexical
+
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(30)] + ["the"]
+    docs = [" ".join(["the"] * int(rng.integers(0, 3)) + rng.choice(vocabulary, rng.integers(0, 25)).tolist()) for _ in range(120)]
+    asked = [" ".join(rng.choice(vocabulary, 6).tolist()) for _ in range(15)] + ["", "unknown word", None]
+    index = Bm25Index.build(spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "row_id long, text string").repartition(4))
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(asked)] + [(None, "the")], "query_id long, text string")
+    words = [t.split() for t in docs]
+    mean = sum(map(len, words)) / len(words)
+
+    def score(query, words_of):
+        total = 0.0
+        for t in query.split():
+            tf, df = words_of.count(t), sum(t in w for w in words)
+            total += math.log((len(docs) - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words_of) / mean)) if tf else 0
+        return round(total, 6)
+
+    want = set()
+    for i, t in enumerate(asked):
+        own = sorted((-s, d) for d, w in enumerate(words) if set((t or "").split()) & set(w) for s in [score(t, w)])[:5]
+        want |= {(i, d, -s, r) for r, (s, d) in enumerate(own, 1)}
+    for block, tile in ((lexical.QUERY_TERMS, lexical.TILE), (20, 40)):
+        monkeypatch.setattr(lexical, "TILE", tile)
+        got = {(r.query_id, r.row_id, r.score, r["rank"]) for r in index.search(q, 5, block).collect()}
+        assert {(a, b, d) for a, b, _, d in got} == {(a, b, d) for a, b, _, d in want} and {round(x[2], 5) for x in got} == {round(x[2], 5) for x in want}
+    assert index.search(q, 0).count() == 0
+
+
 def test_graph_is_deterministic_and_edges():
     v = unit_rows(60, 8, 3)
     assert ann.build_graph(v, ef=40).links == ann.build_graph(v, ef=40).links

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import storage
@@ -19,6 +20,19 @@ MEASURES = (
 )
 
 
+def metrics_json(measured: DataFrame) -> str:
+    """Rows of MEASURES as one JSON document by preset, keys sorted, floats to six places: equal results give equal text."""
+    rows = {r.preset: {k: round(v, 6) if isinstance(v, float) else v for k, v in r.asDict().items() if k != "preset"} for r in measured.collect()}
+    return json.dumps(rows, indent=2, sort_keys=True) + "\n"
+
+
+def read_metrics(spark: SparkSession, text: str) -> DataFrame:
+    """Rows of MEASURES from such a document."""
+    names = [x.split()[0] for x in MEASURES.split(", ")]
+    rows = [tuple({"preset": preset, **values}.get(n) for n in names) for preset, values in json.loads(text).items()]
+    return spark.createDataFrame(rows, MEASURES)
+
+
 def sample_queries(corpus: Corpus, n: int, seed: int = 0) -> DataFrame:
     """n queries near rows of the corpus, in the order of a hash of seed and row: (query_id, vector, text)."""
     from pyspark.sql import Window

@@ -1,4 +1,4 @@
-"""python -m tidemark COMMAND: inspect, validate, search, search-text, search-ann, benchmark, stats, cite."""
+"""python -m tidemark COMMAND: inspect, validate, search, search-text, search-ann, benchmark, stats, cite, measure, gates, fingerprint."""
 
 from __future__ import annotations
 
@@ -6,13 +6,17 @@ import argparse
 import json
 import subprocess
 import sys
+from dataclasses import asdict
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .acceptance import measure_presets, metrics_json, read_metrics
 from .corpus import Corpus
 from .errors import CorpusError
+from .identity import fingerprint, resolve_model_folder
+from .operators.evaluate import check_gates
 from .operators.search import parse_vector
 
 
@@ -73,12 +77,40 @@ def _arguments() -> argparse.ArgumentParser:
     p.add_argument("-k", type=int, default=10)
     p.add_argument("--ann", type=int)
     p.add_argument("--cold", action="store_true")
+    p = add("measure", "folder")
+    p.add_argument("--json", help="where the measures go; standard output without it")
+    p.add_argument("-q", "--queries", type=int, default=50)
+    p.add_argument("-k", type=int, default=10)
+    p = commands.add_parser("gates")
+    p.add_argument("baseline")
+    p.add_argument("measured")
+    p = commands.add_parser("fingerprint")
+    p.add_argument("model")
+    p.add_argument("--model-id")
     return top
 
 
+def _gates(spark: SparkSession, baseline: str, measured: str) -> int:
+    """Print each gate; 1 if one fails."""
+    texts = []
+    for path in (baseline, measured):
+        with open(path, encoding="utf-8") as f:
+            texts.append(read_metrics(spark, f.read()))
+    rows = check_gates(*texts).orderBy("preset", "measure").collect()
+    for r in rows:
+        print(f"{'ok  ' if r.passed else 'FAIL'} {r.preset} {r.measure}: {r.value} (bound {r.bound})")
+    return int(not all(r.passed for r in rows))
+
+
 def run(spark: SparkSession, argv: list[str]) -> int:
     a = _arguments().parse_args(argv)
     try:
+        if a.command == "gates":
+            return _gates(spark, a.baseline, a.measured)
+        if a.command == "fingerprint":
+            found = fingerprint(resolve_model_folder(a.model), a.model_id)
+            print(json.dumps(asdict(found) | {"model_hash": found.model_hash()}, sort_keys=True))
+            return 0
         c = Corpus.open(spark, a.corpus)
         if a.command == "inspect":
             doc = c.inspect()
@@ -102,10 +134,17 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         elif a.command == "search-text":
             embedder = process_embedder(a.embedder, c.manifest.embedding_model, a.model_path)
             _print(c.search_text(a.query, embedder, a.k, a.candidates, a.skip_model_hash_check))
+        elif a.command == "measure":
+            text = metrics_json(measure_presets(c, a.folder, a.queries, a.k))
+            if a.json:
+                with open(a.json, "w", encoding="utf-8") as f:
+                    f.write(text)
+            else:
+                print(text, end="")
         else:
             for line in c.benchmark(a.queries, a.k, a.ann, a.cold):
                 print(json.dumps(line))
-    except CorpusError as e:
+    except (CorpusError, FileNotFoundError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     return 0

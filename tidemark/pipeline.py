@@ -39,13 +39,16 @@ class EmbeddingCache:
 
     def read(self) -> DataFrame:
         if not storage.exists(self.spark, self.path):
-            return self.spark.createDataFrame([], self.SCHEMA)
+            if not storage.exists(self.spark, f"{self.path}.old"):
+                return self.spark.createDataFrame([], self.SCHEMA)
+            self._rename(f"{self.path}.old", self.path)  # a replacement was cut short: the old cache stands
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
     def put(self, rows: DataFrame) -> None:
         """Add rows in place of those of the same chunk_id.
 
-        Rows of new identifiers are appended; only a replacement writes the cache anew, beside it, and then renames.
+        Rows of new identifiers are appended; only a replacement writes the cache anew, beside it.  Then the old cache is
+        renamed away, the new one in, and the old one deleted: a crash between leaves one of them, which read() finds.
         """
         fresh = storage.written(rows.select("chunk_id", F.col("dim").cast("int").alias("dim"), "embedding").dropDuplicates(["chunk_id"]), "cache")
         old = self.read()
@@ -54,9 +57,15 @@ class EmbeddingCache:
             return
         trial = f"{self.path}.new"
         old.join(fresh.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh).write.mode("overwrite").parquet(trial)
-        fs, target = storage.file_system(self.spark, self.path)
-        fs.delete(target, True)
-        fs.rename(storage.file_system(self.spark, trial)[1], target)
+        storage.delete(self.spark, f"{self.path}.old")
+        self._rename(self.path, f"{self.path}.old")
+        self._rename(trial, self.path)
+        storage.delete(self.spark, f"{self.path}.old")
+
+    def _rename(self, source: str, target: str) -> None:
+        fs, at = storage.file_system(self.spark, source)
+        if not fs.rename(at, storage.file_system(self.spark, target)[1]):
+            raise CorpusError(f"{source} can't be renamed to {target}")
 
 
 class Pipeline:

@@ -6,7 +6,9 @@ whole texts of ``benchmark``; where both text and vector are needed, doc_id = ve
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +16,15 @@ from pyspark.sql import functions as F
 from .. import storage, wire
 from ..corpus import Corpus, build
 from ..functions.hashing import checksum8, chunk_id, citation_id, parse_citation, source_uri
-from ..functions.stats import nearest_rank
+from ..functions.stats import nearest_ranks
 from ..functions.text import join_parts, label_of, rating_label, squash, tokens
-from ..functions.vector import cosine_distance, dequantize_int8, dot_int8, finite, float16, norm, perturb, quantize_int8
+from ..functions.vector import cosine_distance, dot_int8, finite, float16, norm, perturb, quantize_int8, unit
+from ..manifest import Manifest, compact
 from ..operators import ann, etl, evaluate
 from ..operators.lexical import Bm25Index, doc_terms, hybrid_topk, rrf
 from ..operators.search import envelope, exact_topk, materialize_hits, query_error
-from ..operators.validate import chunk_violations, resolve_citations
+from ..operators.validate import chunk_violations, embedder_errors, manifest_errors, resolve_citations
+from ..sources.container import Container, read_containers
 from ..sources.loaders import both_sides
 
 K = 10
@@ -223,7 +227,7 @@ def int8_scores(spark, sf_dir):
 
 
 def _int8(v: DataFrame) -> DataFrame:
-    return v.select("row_id", dequantize_int8(quantize_int8(F.col("embedding"))).alias("embedding"))
+    return v.select("row_id", quantize_int8(F.col("embedding")).alias("z")).select("row_id", "z.scale", "z.q")
 
 
 def _f16(v: DataFrame) -> DataFrame:
@@ -273,12 +277,35 @@ def score_drift(spark, sf_dir):
 
 @query()
 def ann_topk(spark, sf_dir):
-    """Graph search is not SQL; tests/test_ann.py holds its recall against exact search."""
+    """Graph search is not SQL; ann_recall and tests/test_search.py hold its recall against exact search."""
     v = _vectors(spark, sf_dir)
     index = storage.written(ann.build_index(v), "graph")
     return _shown(ann.ann_topk(v, _queries(spark, sf_dir), K, 100, index))
 
 
+#: Vectors that ann_recall searches, at least.
+GRAPH_ROWS = 20_000
+
+
+def many_vectors(spark: SparkSession, sf_dir: str, rows: int = GRAPH_ROWS) -> DataFrame:
+    """At least so many unit vectors: each row of embeddings, moved in as many ways as that takes."""
+    e = _vectors(spark, sf_dir)
+    times = max(1, -(-rows // max(1, e.count())))
+    moved = F.transform(F.col("embedding"), lambda x, i: x.cast("double") + ((F.col("row_id") * 7 + i * 13 + F.col("c") * 29 + i * F.col("c")) % 31 - 15) / 150.0)
+    copies = e.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    return copies.select((F.col("row_id") + F.col("c") * COPY).alias("row_id"), unit(moved).cast("array<float>").alias("embedding"))
+
+
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings")
+def ann_recall(spark, sf_dir):
+    """Every row as a query of graphs over at least GRAPH_ROWS vectors: whether the mean recall at K is 0.95 at least."""
+    v = storage.written(many_vectors(spark, sf_dir), "many")
+    index = storage.written(ann.build_index(v), "graph")
+    q = _queries(spark, sf_dir)
+    found = evaluate.recall_at_k(ann.ann_topk(v, q, K, 100, index), exact_topk(v, q, K), K)
+    return found.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.95).alias("reached"))
+
+
 # ---- text and lexical search ---------------------------------------------------------------------------------------
 
 
@@ -485,8 +512,8 @@ def _percentile_sql(p: float) -> str:
 
 @query(f"SELECT event_type, {_percentile_sql(0.5)}, {_percentile_sql(0.95)}, {_percentile_sql(0.99)} FROM events GROUP BY event_type")
 def percentile_nearest_rank(spark, sf_dir):
-    wanted = [nearest_rank(F.col("value"), p, t).alias(f"p{round(100 * p)}_{t}") for p in (0.5, 0.95, 0.99) for t in ("even", "away")]
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(*wanted)
+    wanted = {f"p{round(100 * p)}_{t}": (p, t) for p in (0.5, 0.95, 0.99) for t in ("even", "away")}
+    return nearest_ranks(_t(spark, sf_dir, "events"), "value", wanted, ("event_type",))
 
 
 @query(f"SELECT round(avg(value), 6) AS mean, {', '.join(_percentile_sql(p).split(', list_sort')[0].replace('_even', '') for p in (0.5, 0.95, 0.99))} FROM events")
@@ -539,10 +566,118 @@ def corpus_chunks(spark, sf_dir):
     return _build(spark, sf_dir, "compressed").chunks.select("row_id", "source_uri", "chunk_id", "byte_end")
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS row_id, CAST(NULL AS VARCHAR) AS rule WHERE false")
+@query(f"""WITH {_NUMBERED}
+SELECT row_id, 'ChunkIdMismatch' AS rule FROM d WHERE row_id % 6 IN (1, 2) UNION ALL SELECT row_id, 'InvalidSpan' FROM d WHERE row_id % 6 = 2
+UNION ALL SELECT row_id, 'DimensionMismatch' FROM d WHERE row_id % 6 = 3 UNION ALL SELECT row_id, 'InvalidEmbeddingValue' FROM d WHERE row_id % 6 = 4
+UNION ALL SELECT NULL, 'CountMismatch' UNION ALL SELECT NULL, 'ContentHashMismatch'""")
 def corpus_validation(spark, sf_dir):
-    """A sound corpus breaks no rule."""
-    return _build(spark, sf_dir, "tiny").validate()
+    """A corpus spoilt after it was built: texts changed, spans turned round, vectors lengthened or no numbers, the last row gone."""
+    c = _build(spark, sf_dir, "exact")
+    if not c.validate().isEmpty():
+        raise AssertionError("the corpus was unsound before")
+    turn, e = F.col("row_id") % 6, F.col("embedding")
+    text = F.when(turn == 1, F.concat("canonical_text", F.lit("!"))).otherwise(F.col("canonical_text"))
+    start = F.when(turn == 2, F.col("byte_end") + 1).otherwise(F.col("byte_start"))
+    nan = F.concat(F.slice(e, 1, F.size(e) - 1), F.array(F.lit(float("nan")).cast("float")))
+    wrong = F.when(turn == 3, F.concat(e, e)).when(turn == 4, nan).otherwise(e)
+    return replace(
+        c, manifest=replace(c.manifest, n_chunks=c.manifest.n_chunks + 1), chunks=c.chunks.withColumns({"canonical_text": text, "byte_start": start}), stored=c.stored.withColumn("embedding", wrong)
+    ).validate()
+
+
+@query(f"WITH {_NUMBERED} SELECT row_id, {_chunk_id_sql('text', 'uri', '0', 'strlen(text)')} AS chunk_id, text AS canonical_text, uri AS source_uri, CAST(strlen(text) AS BIGINT) AS byte_end, embedding FROM d")
+def container_round_trip(spark, sf_dir):
+    """A corpus exported as a single file and read back section by section: identifiers, texts, spans, vectors."""
+    path = storage.fresh_path(spark, "container")
+    storage.write_bytes(spark, f"{path}/corpus.bin", _build(spark, sf_dir, "exact").export_container())
+    return read_containers(spark, f"{path}/corpus.bin").select("row_id", "chunk_id", "canonical_text", "source_uri", "byte_end", "embedding")
+
+
+@query("""SELECT * FROM (VALUES ('chunk_ids', 0, true), ('chunks_canonical', 1, true), ('chunks_original_spans', 1, true), ('embeddings', 3, true), ('provenance', 1, true),
+('search_contract', 1, true)) t(name, encoding, aligned)""")
+def container_sections(spark, sf_dir):
+    """The sections of a corpus exported with compressed text and int8 vectors, in the order in which they lie."""
+    both = _build(spark, sf_dir, "tiny")
+    found = Container(replace(both, graph=None, manifest=replace(both.manifest, index_type="exact", rerank_policy="none")).export_container()).inspect()["sections"]
+    rows = [(x["name"], x["encoding"], x["offset"] % wire.ALIGNMENT == 0) for x in found]
+    return spark.createDataFrame(rows, "name string, encoding int, aligned boolean")
+
+
+# ---- rules and gates -----------------------------------------------------------------------------------------------
+
+#: (field, value that breaks a rule, error), one for each document in turn; the first breaks none.
+_BROKEN = [
+    (None, None, None), ("format_version", 2, "UnsupportedFormatVersion"), ("schema_version", 2, "UnsupportedSchemaVersion"), ("embedding_model", "", "ManifestInvalid"), ("embedding_dim", 0, "ManifestInvalid"),
+    ("n_chunks", 0, "ManifestInvalid"), ("chunker_version", "", "ManifestInvalid"), ("model_hash", "md5:1", "InvalidModelHash"), ("model_hash", "sha256:12", "InvalidModelHash"), ("dtype", "int4", "UnsupportedDType"),
+    ("metric", "l2", "UnsupportedMetric"), ("score_type", "x", "UnsupportedScoreType"), ("normalize", "no", "UnsupportedNormalize"), ("index_type", "ivf", "UnsupportedIndexType"),
+    ("rerank_policy", "x", "UnsupportedRerankPolicy"), ("index_type", "hnsw", "ManifestInvalid"), ("capabilities", {"supports_exact": False}, "ManifestInvalid"),
+    ("capabilities", {"supports_reproducible_build": False}, "ManifestInvalid"), ("n_chunks", -1, "Json"), ("n_chunks", "many", "Json"),
+]
+_SOUND = Manifest(embedding_model="demo", embedding_dim=64, n_chunks=3, model_hash="sha256:" + "12" * 32, chunker_version=CHUNKER)
+
+
+def _turns(column: str, values: list[str | None]) -> str:
+    """SQL that picks one of values by a number's remainder."""
+    return f"CASE {column} % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None) + " END"
+
+
+def _by_turn(column: str, values: list[str | None]):
+    return F.get(F.array(*(F.lit(v) for v in values)), (F.col(column) % len(values)).cast("int"))
+
+
+@query(f"SELECT doc_id AS id, {_turns('doc_id', [e for _, _, e in _BROKEN])} AS error FROM documents")
+def manifest_rules(spark, sf_dir):
+    """A manifest a document, each breaking one rule in turn: the error that is seen."""
+    docs = []
+    for name, value, _ in _BROKEN:
+        doc = _SOUND.to_dict()
+        if name:
+            doc[name] = doc[name] | value if isinstance(value, dict) else value
+        docs.append(compact(doc).decode())
+    return manifest_errors(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), _by_turn("doc_id", docs).alias("manifest")))
+
+
+_ANSWERS = [
+    ({}, {}, None), ({"embedding_model": "other"}, {}, "model name mismatch"), ({"embedding_dim": 32}, {}, "dim mismatch"), ({"vector": [0.5]}, {}, "dim mismatch"),
+    ({"model_hash": "sha256:" + "34" * 32}, {}, "model_hash mismatch"), ({}, {"model_hash": wire.PLACEHOLDER_HASH}, "the corpus has the legacy placeholder as model_hash"),
+]
+
+
+@query(f"SELECT doc_id AS id, {_turns('doc_id', [e for _, _, e in _ANSWERS])} AS error FROM documents")
+def model_gate(spark, sf_dir):
+    """An embedder's answer a document, some of other models, dims and hashes: what the gate before a text search says."""
+    fine = {"embedding_model": "demo", "embedding_dim": 64, "model_hash": _SOUND.model_hash, "vector": [0.125] * 64}
+    answers = [json.dumps(fine | own) for own, _, _ in _ANSWERS]
+    manifests = [compact(_SOUND.to_dict() | other).decode() for _, other, _ in _ANSWERS]
+    return embedder_errors(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), _by_turn("doc_id", manifests).alias("manifest"), _by_turn("doc_id", answers).alias("answer")))
+
+
+_QUERY_ERRORS = [None, "EmptyQuery", "DimensionMismatch", "InvalidQueryValue", "ZeroNormQuery", "InvalidK", "EmptyQuery"]
+
+
+@query(f"SELECT vec_id, {_turns('vec_id', _QUERY_ERRORS)} AS error FROM embeddings")
+def query_validation(spark, sf_dir):
+    """Queries that are null, too long, no number, zero, for no results or empty, in turn: the error of each."""
+    e, turn = F.col("embedding"), F.col("vec_id") % len(_QUERY_ERRORS)
+    zero = F.transform(e, lambda x: x * 0)
+    wrong = F.when(turn == 2, F.concat(e, e)).when(turn == 3, F.concat(F.slice(e, 1, F.size(e) - 1), F.array(F.lit(float("inf")).cast("float")))).when(turn == 4, zero).when(turn == 6, F.slice(e, 1, 0)).when(turn == 1, None).otherwise(e)
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", wrong.alias("v"), F.when(turn == 5, 0).otherwise(K).alias("k"))
+    return rows.select("vec_id", query_error(F.col("v"), F.col("k"), 64).alias("error"))
+
+
+_MEASURED = [("exact", 1.0, 1.0, 2.0), ("compressed", 0.41, 0.9999, 2.5), ("tiny", 0.28, 0.96, 2.5)]
+_VALUES = ", ".join(f"('{p}', {s}::DOUBLE, {r}::DOUBLE, {t}::DOUBLE)" for p, s, r, t in _MEASURED)
+
+
+@query(f"""WITH g AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{m}', '{o}', {b}::DOUBLE)" for p, m, o, b in evaluate.GATES)}) t(preset, measure, op, bound)),
+m AS (SELECT * FROM (VALUES {_VALUES}) t(preset, size_ratio, recall_at_k, p95_ms)),
+v AS (SELECT g.*, CASE measure WHEN 'size_ratio' THEN size_ratio WHEN 'recall_at_k' THEN recall_at_k ELSE p95_ms END AS value,
+  CASE op WHEN '<=x' THEN bound * 1.0 ELSE bound END AS limit_ FROM g LEFT JOIN m ON m.preset = g.preset)
+SELECT preset, measure, value, limit_ AS bound, coalesce(CASE op WHEN '>=' THEN value >= limit_ ELSE value <= limit_ END, false) AS passed FROM v""")
+def release_gates(spark, sf_dir):
+    """The release gates on measures of which some fail and one is missing; the baseline's p95 is 1 ms."""
+    shape = "preset string, size_ratio double, recall_at_k double, p95_ms double"
+    return evaluate.check_gates(spark.createDataFrame([("exact", 1.0, 1.0, 1.0)], shape), spark.createDataFrame(_MEASURED, shape))
 
 
 @query(f"""WITH {_NUMBERED}, {_topk_sql("SELECT row_id, embedding::DOUBLE[] AS e FROM d", queries="SELECT row_id AS query_id, embedding::DOUBLE[] AS v FROM d")}

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import CorpusError
+
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, a temporary one is made and set."""
+    """The folder in spark.checkpoint.dir.  Where that is unset a temporary one is made and set, on a local master only:
+    executors of a cluster would each write to a disk of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise CorpusError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -54,6 +60,17 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\0").text(path)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One file of any file system."""
+    fs, at = file_system(spark, path)
+    out = fs.create(at, True)
+    try:
+        for i in range(0, len(data), 1 << 24):
+            out.write(bytearray(data[i : i + (1 << 24)]))
+    finally:
+        out.close()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.option("wholetext", True).text(path).first().value.rstrip("\0")
 
@@ -65,6 +82,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables made so far, once all results that are made of them are written; how many went."""
+    mine = [path for s, path in _made if s is spark]
+    _made[:] = [x for x in _made if x[0] is not spark]
+    for path in mine:
+        delete(spark, path)
+    return len(mine)
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _made:

@@ -12,6 +12,8 @@ def search_stream(queries: DataFrame, corpus: DataFrame, k: int, sink: str) -> D
     """A writer, to be started, that appends (query_id, row_id, score, rank, batch_id) of each micro-batch of
     (query_id, vector) to ``sink``, a folder of Parquet with a subfolder a batch.
 
+    Each batch reads the corpus anew and counts its queries first; a corpus that fits the executors' memory is better
+    given cached (corpus.persist()), as then only the queries are new to a batch.
     A batch that is retried overwrites what it had written, so each query's result is there once.
     """
     from pyspark.sql import functions as F
