@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import CorpusError
+from .binding import let
 
 
 def squash(text: Column) -> Column:
@@ -34,11 +35,6 @@ def check_window(max_chars: int, overlap: int) -> None:
         raise CorpusError("overlap must be at least 0 and below max_chars")
 
 
-def _let(value: Column, body) -> Column:
-    """body of value, which is computed once; an expression that a lambda names is computed anew for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 #: Windows that start in one part of a text.
 PART_WINDOWS = 64
 
@@ -66,14 +62,14 @@ def windows(text: Column, max_chars: int = 512, overlap: int = 0) -> Column:
 
             def window(own: Column, j: Column) -> Column:
                 start = own["base"] + F.octet_length(F.substring(part, F.lit(1), j * step))
-                return _let(F.substring(own["longer"], j * step + 1, F.lit(max_chars)), lambda piece: F.struct(piece.alias("piece"), start.alias("byte_start"), (start + F.octet_length(piece)).alias("byte_end")))
+                return let(F.substring(own["longer"], j * step + 1, F.lit(max_chars)), lambda piece: F.struct(piece.alias("piece"), start.alias("byte_start"), (start + F.octet_length(piece)).alias("byte_end")))
 
-            return _let(F.struct(base.alias("base"), longer.alias("longer")), lambda own: F.transform(indexes, lambda j: window(own, j)))
+            return let(F.struct(base.alias("base"), longer.alias("longer")), lambda own: F.transform(indexes, lambda j: window(own, j)))
 
         return F.flatten(F.transform(parts, of_part))
 
-    known = _let(cut, lambda parts: F.struct(parts.alias("parts"), F.transform(parts, lambda p: F.octet_length(p).cast("long")).alias("sizes"), total.alias("total")))
-    return F.when(text.isNotNull(), _let(known, of_text))
+    known = let(cut, lambda parts: F.struct(parts.alias("parts"), F.transform(parts, lambda p: F.octet_length(p).cast("long")).alias("sizes"), total.alias("total")))
+    return F.when(text.isNotNull(), let(known, of_text))
 
 
 def label_of(value: Column, mapping: dict[str, str]) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -17,8 +19,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v over its norm, in double; null where the norm is zero."""
-    size = norm(v)
-    return F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size))
+    return let(norm(v), lambda size: F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size)))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -37,18 +38,20 @@ def quantize_int8(v: Column) -> Column:
     """
     most = F.array_max(F.transform(v, lambda x: F.abs(x)))
     scale = F.when(most > 0, _float(most / F.lit(127.0))).otherwise(_float(F.lit(1.0)))
-    inverse = _float(F.lit(1.0) / scale)
 
-    def q(x: Column) -> Column:
-        y = _float(x * inverse).cast("double")
-        # ROUND of a double is half up by its decimal form, which is away from zero on both sides
-        return F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.round(y, 0))).cast("tinyint")
+    def quantized(scale: Column, inverse: Column) -> Column:
+        def q(x: Column) -> Column:
+            y = _float(x * inverse).cast("double")
+            # ROUND of a double is half up by its decimal form, which is away from zero on both sides
+            return F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.round(y, 0))).cast("tinyint")
+
+        return F.struct(scale.alias("scale"), F.transform(v, q).alias("q"))
 
-    return F.struct(scale.alias("scale"), F.transform(v, q).alias("q"))
+    return let(scale, lambda s: let(_float(F.lit(1.0) / s), lambda inverse: quantized(s, inverse)))
 
 
 def dequantize_int8(z: Column) -> Column:
-    return F.transform(z["q"], lambda x: _float(x.cast("float") * z["scale"]))
+    return let(z, lambda own: F.transform(own["q"], lambda x: _float(x.cast("float") * own["scale"])))
 
 
 def dot_int8(query: Column, z: Column) -> Column:

@@ -145,6 +145,17 @@ def query_blocks(queries: DataFrame, block: int = BROADCAST_VALUES):
             yield sc.broadcast(got.column("query_id").to_numpy()), sc.broadcast(np.ascontiguousarray(flat).reshape(got.num_rows, -1))
 
 
+#: A corpus between these many bytes, the latter for each core, is spread over all cores before it meets many queries: its
+#: few files would make few tasks.  Beyond, its files make enough.
+SPREAD_BYTES, SPREAD_CORE_BYTES, MANY_QUERIES = 2 << 20, 16 << 20, 256
+
+
+def _spread(base: DataFrame, queries: int) -> DataFrame:
+    cores = base.sparkSession.sparkContext.defaultParallelism
+    size = int(str(base._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return base.repartition(cores, "row_id") if queries >= MANY_QUERIES and SPREAD_BYTES <= size <= cores * SPREAD_CORE_BYTES else base
+
+
 def exact_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int = BROADCAST_VALUES) -> DataFrame:
     """(query_id, row_id, score, rank): the k rows of greatest dot product with each normalised query.
 
@@ -158,7 +169,7 @@ def exact_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int =
     base = corpus.select(F.col("row_id").cast("long").alias("row_id"), *form).where(" and ".join(f"{c} is not null" for c in ("row_id", *form)))
     out = None
     for ids, matrix in query_blocks(queries, block):
-        same = base.where(F.size(form[-1]) == matrix.value.shape[1])
+        same = _spread(base.where(F.size(form[-1]) == matrix.value.shape[1]), len(ids.value))
         part = same.mapInArrow(_top(ids, matrix, k), "query_id long, row_id long, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
