@@ -864,6 +864,32 @@ def test_op8_folds_nothing_and_takes_awkward_tables(spark, tmp_path):
     assert word_lm.word_lm_scores(docs.where("false")).count() == 0
 
 
+def test_word_automaton_takes_arcs_and_failure_arcs():
+    texts = ["a b a c", "a b", "c a"]
+    n, h = len(texts), {None: word_lm.END} | {w: word_lm.tokens([w])[0][0] for w in "abc"}
+    words = np.array([h[None], h["a"], h["b"], h["c"]], np.uint64)
+    number = {None: 0, "a": 1, "b": 2, "c": 3}
+    lines = [[None, *t.split(), None] for t in texts]
+    taken = {}
+    for s in lines:
+        for v, w in zip(s, s[1:]):
+            taken[number[v], number[w]] = taken.get((number[v], number[w]), 0) + 1
+    arcs = sorted(taken)
+    total = np.array([sum(c for (v, _), c in taken.items() if v == i) for i in range(4)])
+    kinds = np.array([sum(v == i for v, _ in taken) for i in range(4)])
+    auto = word_lm.build_automaton(np.array([v * 4 + w for v, w in arcs]), np.array([taken[x] for x in arcs]), total, kinds, int(total.sum()), 4)
+    lower = lambda w: (total[w] + 4 / 5) / (total.sum() + 4)
+    for v in range(4):
+        for w in range(4):
+            want = (taken.get((v, w), 0) + kinds[v] * lower(w)) / (total[v] + kinds[v])
+            assert np.exp(auto.walk(np.array([v, 0]), np.array([w, 1]))[0]) == pytest.approx(want)
+    assert (2, 3) not in taken and auto.walk(np.array([2]), np.array([3]))[0] == pytest.approx(auto.backoff[2] + auto.root[3])
+    token, before = np.concatenate([[h[w] for w in s[1:]] for s in lines]), np.concatenate([[h[w] for w in s[:-1]] for s in lines])
+    codes = word_lm.pack(np.searchsorted(np.sort(words), token))
+    own = word_lm.Chunk.of(np.arange(n).tobytes(), np.array([len(x) - 1 for x in lines]).tobytes(), np.sort(words).tobytes(), codes)
+    assert (own.words[own.state] == before).all() and (own.words[own.label] == token).all()
+
+
 # ---- shared -------------------------------------------------------------------------------------------------------
 
 
