@@ -890,6 +890,23 @@ def test_word_automaton_takes_arcs_and_failure_arcs():
     assert (own.words[own.state] == before).all() and (own.words[own.label] == token).all()
 
 
+def test_word_arcs_move_once_whatever_the_number_of_shards():
+    import pyarrow as pa
+
+    texts = [f"w{i % 7} v{i % 11} the w{i * i % 13}, the" for i in range(300)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(range(300), pa.int64()), pa.array(texts)], names=["row", "doc_id", "text"])
+    (coded,) = word_lm._code([rows])
+    often = np.sort(word_lm.tokens(["the"])[0])
+    moved = {}
+    for bits in (0, 3, 9):
+        (sent,) = word_lm._send(bits, often if bits else often[:0])([coded])
+        shards, taken = sent.column("shard").to_pylist(), b"".join(sent.column("taken").to_pylist())
+        assert len(set(shards)) == len(shards) <= 1 << bits
+        moved[bits] = len(taken), int(np.frombuffer(taken, np.uint32).sum())
+    pairs = {p for t in texts for s in [[None, *re.findall(r"[^\W_]+|[^\w\s]", t), None]] for p in zip(s, s[1:])}
+    assert set(moved.values()) == {(4 * len(pairs), sum(len(re.findall(r"[^\W_]+|[^\w\s]", t)) + 1 for t in texts))}
+
+
 # ---- shared -------------------------------------------------------------------------------------------------------
 
 
