@@ -907,6 +907,54 @@ def test_word_arcs_move_once_whatever_the_number_of_shards():
     assert set(moved.values()) == {(4 * len(pairs), sum(len(re.findall(r"[^\W_]+|[^\w\s]", t)) + 1 for t in texts))}
 
 
+def test_components_are_compared_without_ordering_what_is_large(monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.llm import meetings
+
+    rng = np.random.default_rng(3)
+    n = 400
+    sets = [np.unique(rng.integers(0, 1 << 63, 30)) for _ in range(n // 4)]
+    rows = pa.table(
+        {
+            "id": rng.permutation(n), "digest": pa.array([bytes([i % 5]) for i in range(n)], pa.binary()), "component": rng.integers(0, 60, n), "block": np.zeros(n, np.int32),
+            "grams": pa.array([sets[i].tolist() for i in rng.integers(0, n // 4, n)], pa.list_(pa.int64())),
+        }
+    )
+    rows = pa.concat_tables([rows.slice(0, 150), rows.slice(150, 0), rows.slice(150, 130), rows.slice(280)])
+    most = []
+
+    def hits(own):
+        most.append((len(own), own.column("grams").nbytes))
+        return ngram_join._jaccard(0.55, False)(own)
+
+    key = (pa.scalar(0), pa.scalar(0), pa.scalar(0))
+    got = {tuple(sorted((r["id"], r["other"]))) for r in meetings._compare(hits, "pairs")(key, rows).to_pylist()}
+    assert max(x for x, _ in most) < n and max(b for _, b in most) < rows.nbytes / 4
+    plain = rows.to_pylist()
+    want = {tuple(sorted((x["id"], y["id"]))) for x in plain for y in plain if x["id"] < y["id"] and x["component"] == y["component"] and x["grams"] == y["grams"]}
+    assert got == want and len(want) > 5
+    links = meetings._compare(hits, "links")(key, rows).to_pylist()
+    assert all(next(p["digest"] for p in plain if p["id"] == r["id"]) == r["digest"] and r["links"] == sum(r["id"] in x for x in want) for r in links)
+
+
+def test_gram_sets_come_in_slices(monkeypatch):
+    import pyarrow as pa
+    from xxhash import xxh3_128_digest
+
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "SLICE_BYTES", 2000)
+    texts = [" ".join(f"w{i * j % 97}" for j in range(40)) for i in range(200)]
+    sets = [TextChunk([t]).gram_sets(3)[0] for t in texts]
+    digests = [xxh3_128_digest(x) if i % 9 else b"other" for i, x in enumerate(sets)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts), pa.array(digests, pa.binary()), pa.array([0] * 200), pa.array([0] * 200)], names=["id", "text", "digest", "component", "weight"])
+    got = list(ngram_join._gram_sets(3)([rows]))
+    assert len(got) > 5
+    flat = [r for b in got for r in b.to_pylist()]
+    assert [r["id"] for r in flat] == [i for i in range(200) if i % 9] and all(np.array_equal(np.array(r["grams"]).astype(np.int64).view(np.uint64), sets[r["id"]]) for r in flat)
+
+
 # ---- shared -------------------------------------------------------------------------------------------------------
 
 
