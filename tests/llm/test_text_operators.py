@@ -955,6 +955,29 @@ def test_gram_sets_come_in_slices(monkeypatch):
     assert [r["id"] for r in flat] == [i for i in range(200) if i % 9] and all(np.array_equal(np.array(r["grams"]).astype(np.int64).view(np.uint64), sets[r["id"]]) for r in flat)
 
 
+def test_word_counts_hold_no_place_of_each_word(monkeypatch):
+    import tracemalloc
+
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "SMALL", 1 << 12)
+    texts = [" ".join(f"w{(i * 31 + j * j) % 499}" for j in range(120)) for i in range(2500)]
+    marks = [np.array([i % 5 == 0 for i in range(len(texts))], float), np.array([i % 7 == 0 for i in range(len(texts))], float)]
+    quality_gam.WordCounts(texts[:50], [m[:50] for m in marks], 4)  # tables of all code points
+    tracemalloc.start()
+    counts = quality_gam.WordCounts(texts, marks, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * sum(len(set(t.split())) for t in texts)
+    own = dict(zip(counts.ids.tolist(), range(len(counts.ids))))
+    for w in ("w0", "w7", "w498"):
+        i = own[int(TextChunk([w]).heads(None)[0])]
+        there = [k for k, t in enumerate(texts) if w in t.split()]
+        assert counts.all[i].tolist() == [sum(k % 4 == f for k in there) for f in range(4)]
+        for m, mark in enumerate(marks):
+            assert counts.yes[m][i].tolist() == [sum(mark[k] for k in there if k % 4 == f) for f in range(4)]
+
+
 # ---- shared -------------------------------------------------------------------------------------------------------
 
 
