@@ -907,6 +907,47 @@ def test_word_arcs_move_once_whatever_the_number_of_shards():
     assert set(moved.values()) == {(4 * len(pairs), sum(len(re.findall(r"[^\W_]+|[^\w\s]", t)) + 1 for t in texts))}
 
 
+def test_arcs_of_frequent_words_are_spread_within_a_shard():
+    import pyarrow as pa
+
+    from tidemark.llm.common import mix64
+
+    texts = [" ".join(f"the w{i * 40 + j}" for j in range(40)) for i in range(400)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(range(400), pa.int64()), pa.array(texts)], names=["row", "doc_id", "text"])
+    (coded,) = word_lm._code([rows])
+    (sent,) = word_lm._send(6, np.sort(word_lm.tokens(["the"])[0]))([coded])
+    for r in sent.to_pylist():
+        state = np.repeat(np.frombuffer(r["state"], np.uint64), np.frombuffer(r["arcs"], np.uint32))
+        high = mix64(state ^ mix64(np.frombuffer(r["label"], np.uint64))) >> np.uint64(58)
+        assert len(state) > 200 and np.bincount(high.astype(int)).max() < len(state) / 8
+
+
+def test_find_takes_keys_that_are_not_spread():
+    from tidemark.llm.common import find
+
+    class Counted(np.ndarray):
+        looks = 0
+
+        def __getitem__(self, at):
+            Counted.looks += 1
+            return super().__getitem__(at)
+
+    rng = np.random.default_rng(1)
+    for keys in (np.arange(3000, dtype=np.uint64), np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)), np.array([0], np.uint64), np.empty(0, np.uint64)):
+        Counted.looks = 0
+        want = rng.integers(0, len(keys), 500) if len(keys) else np.empty(0, int)
+        assert (np.asarray(find(keys.view(Counted), keys[want])) == want).all() and Counted.looks < 20
+
+
+def test_counts_of_any_size_are_written_in_few_bytes():
+    import pyarrow as pa
+
+    values, edges = np.array([0, 1, 254, 255, 256, 7, 1 << 40, 3]), np.array([0, 3, 3, 7, 8])
+    for kind in (np.uint8, np.uint16):
+        small, large = (pa.chunked_array([c.slice(0, 2), c.slice(2)]) for c in word_lm.narrow(values, edges, kind))
+        assert word_lm.lengths(small, kind).tolist() == [3, 0, 4, 1] and (word_lm.widened(small, large, kind) == values).all()
+
+
 def test_components_are_compared_without_ordering_what_is_large(monkeypatch):
     import pyarrow as pa
 
