@@ -276,3 +276,24 @@ def test_sharded_ann_reranks_exactly(spark):
     assert sum((r.query_id, r.row_id) in exact for r in got) / 200 >= 0.95
     assert all(abs(exact[r.query_id, r.row_id] - r.score) < 1e-9 for r in got if (r.query_id, r.row_id) in exact)
     assert as_set(ann.ann_topk(corpus, q, 3)) == as_set(exact_topk(corpus, q, 3))
+
+
+def test_walks_in_step_find_what_single_walks_find():
+    v, q = unit_rows(3000, 24, 5), unit_rows(200, 24, 6)
+    g = ann.build_graph(v, ef=80)
+    near, nodes = g.search_many(q, 80)
+    one = [[x for _, x in g.search(x.astype(float), 80)] for x in q]
+    assert np.mean([len(set(a[:10].tolist()) & set(b[:10])) / 10 for a, b in zip(nodes, one)]) >= 0.99
+    assert (np.diff(near, axis=1) >= 0).all() and all(len(set(a.tolist())) == 80 for a in nodes)
+    assert np.allclose(near[:, 0], 1 - np.einsum("ij,ij->i", v[nodes[:, 0]], q), atol=1e-5)
+
+
+def test_a_shard_gives_back_k_rows_a_query(spark):
+    """Candidates are scored where they are found: none of the hundreds a walk finds goes through a shuffle."""
+    v = unit_rows(900, 16, 8)
+    corpus, q = frame(spark, v), frame(spark, v[:30], "query_id", "vector")
+    index = storage.written(ann.build_index(corpus, shards=3), "graph")
+    plan = ann.ann_topk(corpus, q, 5, 100, index)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    # a row that the corpus no longer has is no hit
+    assert {r.row_id for r in ann.ann_topk(corpus.where("row_id > 9"), q, 1, 100, index).collect()}.isdisjoint(range(10))
