@@ -297,3 +297,26 @@ def test_a_shard_gives_back_k_rows_a_query(spark):
     assert "Join" not in plan
     # a row that the corpus no longer has is no hit
     assert {r.row_id for r in ann.ann_topk(corpus.where("row_id > 9"), q, 1, 100, index).collect()}.isdisjoint(range(10))
+
+
+def test_exact_search_holds_little_and_forgets_its_queries():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    from tidemark.operators import search
+
+    v = unit_rows(30_000, 16, 9)
+    v[20_000:20_500] = v[:500]  # ties
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + 10_000)), pa.FixedSizeListArray.from_arrays(v[a : a + 10_000].ravel(), 16).cast(pa.list_(pa.float32()))], names=["row_id", "embedding"]) for a in range(0, 30_000, 10_000)]
+    q = v[:4000].astype(np.float64)
+    ids, matrix = SimpleNamespace(value=np.arange(len(q)), _value=1), SimpleNamespace(value=q, _value=1)
+    tracemalloc.start()
+    got = list(search._top(ids, matrix, 5)(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20 and not hasattr(matrix, "_value") and not hasattr(ids, "_value")
+    for i in range(0, 4000, 500):
+        s = np.round(v.astype(np.float64) @ q[i], search.PLACES)
+        want = np.lexsort((np.arange(len(v)), -s))[:5].tolist()
+        mine = [(r, x) for b in got for c, r, x in zip(*(c.to_pylist() for c in b.columns)) if c == i]
+        assert [r for r, _ in sorted(mine, key=lambda p: (-p[1], p[0]))] == want
