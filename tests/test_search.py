@@ -320,3 +320,22 @@ def test_exact_search_holds_little_and_forgets_its_queries():
         want = np.lexsort((np.arange(len(v)), -s))[:5].tolist()
         mine = [(r, x) for b in got for c, r, x in zip(*(c.to_pylist() for c in b.columns)) if c == i]
         assert [r for r, _ in sorted(mine, key=lambda p: (-p[1], p[0]))] == want
+
+
+def test_postings_are_added_up_in_groups_of_whole_documents():
+    from tidemark.operators import lexical
+
+    row = np.repeat(np.arange(50), 7)
+    batches = [pa.RecordBatch.from_arrays([pa.array(row[a : a + 10]), pa.array(np.arange(len(row))[a : a + 10]), pa.array(np.ones(len(row))[a : a + 10])], names=["row_id", "code", "w"]) for a in range(0, len(row), 10)]
+    groups = list(lexical._groups(batches, 20))
+    assert np.concatenate([c for _, c, _ in groups]).tolist() == list(range(len(row)))
+    assert max(len(r) for r, _, _ in groups) < 40
+    assert all(a[0][-1] < b[0][0] for a, b in zip(groups, groups[1:]))
+
+
+def test_document_frequencies_are_counted_without_postings(spark):
+    from tidemark.operators.lexical import Bm25Index
+
+    terms = Bm25Index.build(spark.createDataFrame([(1, "uno dos dos"), (2, "dos tres"), (3, "")], "row_id long, text string")).terms
+    assert {(r.term, r.df) for r in terms.collect()} == {("uno", 1), ("dos", 2), ("tres", 1)}
+    assert terms._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
