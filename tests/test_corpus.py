@@ -406,3 +406,20 @@ def test_api_surface():
     assert tidemark.chunk_id("a", "b", 0, 1, "c").startswith("sha256:")
     with pytest.raises(AttributeError):
         tidemark.nothing  # noqa: B018
+
+
+def test_an_export_is_written_in_pieces_byte_for_byte(spark, tmp_path):
+    import mmap
+
+    from tidemark.sources.container import encode_container
+
+    rows, _ = chunks(spark, 40)
+    for preset in ("exact", "compressed"):
+        for dtype in ("float32", "int8"):
+            c = build(rows.repartition(3), str(tmp_path / preset), preset=preset, dtype=dtype, **ABOUT)
+            c.export_file(str(tmp_path / "c.bin"))
+            got = c.chunks.join(c.vectors, "row_id").orderBy("row_id").collect()
+            want = encode_container(c.manifest, [r.canonical_text for r in got], [(r.source_uri, r.byte_start, r.byte_end) for r in got], np.array([r.embedding for r in got], np.float32), c.provenance, c.text_encoding)
+            assert (tmp_path / "c.bin").read_bytes() == want == c.export_container()
+    with open(tmp_path / "c.bin", "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as m:
+        assert Container(m).inspect() == Container(want).inspect()
